@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from loomdial.llm.canonical import canonical_values, unmatched_values
+from loomdial.llm.defects import answer_defects
 from loomdial.llm.mixing import Mixture
 from loomdial.llm.sampling import session_sample
 from loomdial.llm.splits import linked_topics, split_records
@@ -33,6 +36,16 @@ def p2_unmatched(spark, d):
     return unmatched_values(read(spark, d, "sessions"), read(spark, d, "vocabulary"))
 
 
+def p4_found(spark, d):
+    found = answer_defects(read(spark, d, "flat_rows"), read(spark, d, "dpo_pairs"))
+    return found.select("table_name", "row_no", "field_name", F.element_at("defects", 1).alias("defect"))
+
+
+def p4_all(spark, d):
+    found = answer_defects(read(spark, d, "flat_rows"), read(spark, d, "dpo_pairs"))
+    return found.select("table_name", "row_no", "field_name", F.explode("defects").alias("defect"))
+
+
 def p6_found(spark, d):
     return linked_topics(read(spark, d, "flat_rows"), read(spark, d, "topics"))
 
