@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from loomdial.llm.canonical import canonical_values, unmatched_values
 from loomdial.llm.defects import answer_defects
 from loomdial.llm.mixing import Mixture
+from loomdial.llm.neardup import similar_sessions
 from loomdial.llm.sampling import session_sample
 from loomdial.llm.splits import linked_topics, split_records
 from loomdial.session import read
@@ -46,6 +47,16 @@ def p4_all(spark, d):
     return found.select("table_name", "row_no", "field_name", F.explode("defects").alias("defect"))
 
 
+def p5_found(spark, d):
+    pairs = similar_sessions(read(spark, d, "sessions")).pairs()
+    return pairs.select(F.col("id_a").alias("session_a"), F.col("id_b").alias("session_b"))
+
+
+def p5_groups(spark, d):
+    groups = similar_sessions(read(spark, d, "sessions")).groups()
+    return groups.select(F.col("id").alias("session_no"), "representative", "group")
+
+
 def p6_found(spark, d):
     return linked_topics(read(spark, d, "flat_rows"), read(spark, d, "topics"))
 
