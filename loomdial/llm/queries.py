@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from loomdial.llm.canonical import canonical_values, unmatched_values
 from loomdial.llm.defects import answer_defects
+from loomdial.llm.leaks import clean_documents, leaks
 from loomdial.llm.mixing import Mixture
 from loomdial.llm.neardup import similar_sessions
 from loomdial.llm.sampling import session_sample
@@ -65,6 +66,18 @@ def p6_splits(spark, d):
     return split_records(read(spark, d, "flat_rows"), read(spark, d, "sessions")).select("table_name", "row_no", "split")
 
 
+def p7_found(spark, d):
+    return leaks(read(spark, d, "documents"), read(spark, d, "eval_items")).select("doc_id", "item_id").distinct()
+
+
+def p7_matches(spark, d):
+    return leaks(read(spark, d, "documents"), read(spark, d, "eval_items"))
+
+
+def p7_clean(spark, d):
+    return clean_documents(read(spark, d, "documents"), read(spark, d, "eval_items")).select("doc_id", "source")
+
+
 def _mixture(spark, d):
     return Mixture(read(spark, d, "documents"), read(spark, d, "mix_targets"))
 
