@@ -11,6 +11,7 @@ from loomdial.llm.mixing import Mixture
 from loomdial.llm.neardup import similar_sessions
 from loomdial.llm.sampling import session_sample
 from loomdial.llm.splits import linked_topics, split_records
+from loomdial.llm.subjects import SubjectClassifier, composition
 from loomdial.session import read
 
 
@@ -94,5 +95,18 @@ def p8_report(spark, d):
     return _mixture(spark, d).report()
 
 
+def _assigned(spark, d):
+    documents = read(spark, d, "documents")
+    return SubjectClassifier(documents, read(spark, d, "subject_labels"), read(spark, d, "subject_areas")).assign(documents)
+
+
+def p9_found(spark, d):
+    return _assigned(spark, d).select("doc_id", "subject_id").distinct()
+
+
+def p9_composition(spark, d):
+    return composition(_assigned(spark, d).select("doc_id", "subject_id").distinct(), read(spark, d, "documents").select("doc_id").distinct())
+
+
 QUERIES = {k: v for k, v in list(globals().items()) if k[0] == "p" and k[1].isdigit()}
 ORACLE: dict[str, str] = {}
