@@ -123,8 +123,8 @@ def is_empty(a: Column) -> Column:
     return a.isNull() | ~a.rlike(r"[\p{L}\p{N}]") | ((F.length(a) < 40) & bare.isin(*NO_ANSWER))
 
 
-def is_refusal(a: Column) -> Column:
-    text = F.lower(a)
+def is_refusal(text: Column) -> Column:
+    """text: the answer in lower case."""
     hint = reduce(lambda x, y: x | y, [text.contains(w.replace("&", " ")) for w in LEXEMES.split()])
     return hint & text.rlike("|".join(REFUSALS_ZH + REFUSALS_EN + REFUSALS_OTHER))
 
@@ -155,13 +155,17 @@ def _is_copy(df: DataFrame, q: str, a: str) -> DataFrame:
     return df.withColumn("_copy", F.coalesce(short | long, F.lit(False))).drop("_kq", "_ka", "_n", "_m", "_lead")
 
 
-def is_truncated(a: Column) -> Column:
-    """No sentence end, a colon, comma or dots at the end, or a bracket or quotation mark left open.
+def _end(a: Column) -> Column:
+    """The last characters of an answer, without an end marker in brackets, a closing tag and a gloss behind the sentence end."""
+    end = F.substring(F.rtrim(a), -80, 80)  # all marks that the rules look at stand in the last characters
+    return F.regexp_replace(strip(end), r"\s*(?:[\[【](?:结束|END|end)[\]】]|</?[a-z]+ ?/?>)\s*$|(?<=[。！？!?.])\s*[（(][^（()）]*[）)]$", "")
+
+
+def is_truncated(a: Column, t: Column) -> Column:
+    """a: the answer, t: its _end(). No sentence end, a colon, comma or dots at the end, or a bracket or quotation mark left open.
 
     A Chinese answer that ends in a question particle is complete without its mark; an end marker in brackets or a gloss behind the end does not count.
     """
-    end = F.substring(F.rtrim(a), -80, 80)  # all marks that the rules look at stand in the last characters
-    t = F.regexp_replace(strip(end), r"\s*(?:[\[【](?:结束|END|end)[\]】]|</?[a-z]+ ?/?>)\s*$|(?<=[。！？!?.])\s*[（(][^（()）]*[）)]$", "")
     n = lambda p: F.length(F.replace(a, F.lit(p), F.lit("")))  # noqa: E731  the more of p, the shorter
     marked = reduce(lambda x, y: x | y, [a.contains(m) for m in "（(“《「"])
     open_mark = F.when(marked, (n("（") + n("(") < n("）") + n(")")) | (n("“") < n("”")) | (n("《") < n("》")) | (n("「") < n("」"))).otherwise(False)
@@ -174,7 +178,7 @@ def with_defects(df: DataFrame, question: str = "q", answer: str = "a") -> DataF
 
     A null question is compared with nothing: only emptiness, refusal and truncation are found. An empty answer shows nothing else.
     """
-    df = df.withColumn("_empty", is_empty(F.col(answer)))
+    df = df.withColumns({"_empty": is_empty(F.col(answer)), "_low": F.lower(F.col(answer)), "_end": _end(F.col(answer))})
     df = _is_copy(language_columns(language_columns(df, question, "_lq"), answer, "_la"), question, answer)
     q = F.col(question)
     asked = reduce(lambda x, y: x | y, [(F.col("_la") == code) & q.rlike(p) for code, p in ASKS.items()])
@@ -182,12 +186,12 @@ def with_defects(df: DataFrame, question: str = "q", answer: str = "a") -> DataF
     full = ~F.col("_empty")
     found = [
         F.when(F.col("_empty"), "empty"),
-        F.when(full & is_refusal(F.col(answer)), "refusal"),
+        F.when(full & is_refusal(F.col("_low")), "refusal"),
         F.when(full & F.col("_copy"), "copied_question"),
         F.when(full & F.coalesce(other, F.lit(False)), "other_language"),
-        F.when(full & is_truncated(F.col(answer)), "truncated"),
+        F.when(full & is_truncated(F.col(answer), F.col("_end")), "truncated"),
     ]
-    return df.withColumn("defects", F.array_compact(F.array(*found))).drop("_empty", "_lq", "_la", "_copy")
+    return df.withColumn("defects", F.array_compact(F.array(*found))).drop("_empty", "_low", "_end", "_lq", "_la", "_copy")
 
 
 def last_question(prompt: Column) -> Column:
