@@ -88,26 +88,35 @@ def suffix_matches(texts: list[str], items: Items) -> tuple[np.ndarray, np.ndarr
     return doc[ok], place[ok], items.item[suffix[ok]], items.place[suffix[ok]]
 
 
-def quoted(item: str, passage: str) -> float:
-    """Characters of the item that stand in the best local alignment with the passage; a changed, missing or inserted character costs as much as three equal ones."""
-    a = np.frombuffer(item.encode("utf-32-le"), dtype=np.uint32)
-    b = np.frombuffer(passage.encode("utf-32-le"), dtype=np.uint32)
-    if not len(a) or not len(b):
-        return 0
+def quoted(pairs: list[tuple[str, str]]) -> np.ndarray:
+    """For each item and passage the characters of the item that stand in their best local alignment.
+
+    A changed, missing or inserted character costs as much as three equal ones. All pairs advance together, a character of the items at a time.
+    """
+    rows, width = max(len(a) for a, _ in pairs), max(len(b) for _, b in pairs)
+    a = np.full((len(pairs), rows), 0xFFFFFFFE, dtype=np.uint32)
+    b = np.full((len(pairs), width), 0xFFFFFFFF, dtype=np.uint32)
+    for k, (item, passage) in enumerate(pairs):
+        a[k, : len(item)] = np.frombuffer(item.encode("utf-32-le"), dtype=np.uint32)
+        b[k, : len(passage)] = np.frombuffer(passage.encode("utf-32-le"), dtype=np.uint32)
     one = np.int64(1) << 24  # a score above, the place in the item where the alignment begins below (earlier is larger)
-    slope = np.arange(len(b) + 1, dtype=np.int64) * (_GAP * one)
-    row = np.full(len(b) + 1, one - 1, dtype=np.int64)
-    best, span = 0, 0
-    for i in range(len(a)):
+    slope = np.arange(width + 1, dtype=np.int64) * (_GAP * one)
+    row = np.full((len(pairs), width + 1), one - 1, dtype=np.int64)
+    best, span = np.zeros(len(pairs), np.int64), np.zeros(len(pairs), np.int64)
+    for i in range(rows):
         fresh = one - 2 - i  # an alignment that begins behind this character
-        new = np.full(len(b) + 1, fresh, dtype=np.int64)
-        new[1:] = np.maximum(np.maximum(row[:-1] + np.where(b == a[i], one, -_GAP * one), row[1:] - _GAP * one), fresh)
-        new = np.maximum.accumulate(new + slope) - slope
-        row = np.maximum(new, fresh)
-        top = int(row.max())
-        if top >> 24 > best:
-            best = top >> 24
-            span = i + 1 - (int(one) - 1 - (top & (int(one) - 1)))
+        new = row - _GAP * one
+        new[:, 0] = fresh
+        np.maximum(new[:, 1:], row[:, :-1] + np.where(b == a[:, i : i + 1], one, -_GAP * one), out=new[:, 1:])
+        np.maximum(new, fresh, out=new)
+        new += slope
+        np.maximum.accumulate(new, axis=1, out=new)
+        new -= slope
+        row = new
+        top = row.max(axis=1)
+        better = (top >> 24) > best
+        best[better] = top[better] >> 24
+        span[better] = i + 1 - (one - 1 - (top[better] & (one - 1)))
     return span - (span - best) / (_GAP + 1)
 
 
@@ -120,7 +129,7 @@ def _shard_leaks(ids: np.ndarray, texts: list[str], items: Items, share: float)
         cut = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (item[1:] != item[:-1])]))
         ends = np.concatenate([cut[1:], [len(doc)]])
         size = np.array([len(t) for t in items.texts])
-        least = HINT * share * size[item[cut]]
+        least, chosen = HINT * share * size[item[cut]], []
         for s, e, cover in zip(cut, ends, least):
             if e - s + (SEED - 1) * min(e - s, cover / SEED) < cover:
                 continue
@@ -134,16 +143,23 @@ def _shard_leaks(ids: np.ndarray, texts: list[str], items: Items, share: float)
             if np.minimum(np.diff(places), SEED).sum() + SEED < cover:
                 continue
             begin, end = max(0, low - 20), high + len(text) + 20
-            span = quoted(text, texts[doc[s]][begin:end])
-            if span >= share * len(text):
+            chosen.append((int(s), int(e), texts[doc[s]][begin:end]))
+        chosen.sort(key=lambda x: (len(x[2]), len(items.texts[item[x[0]]])))  # alike in length: little padding
+        for at in range(0, len(chosen), 64):
+            batch = chosen[at : at + 64]
+            given = quoted([(items.texts[item[s]], passage) for s, _, passage in batch])
+            for (s, e, _), span in zip(batch, given):
+                text, p, q = items.texts[item[s]], place[s:e], j[s:e]
+                if span < share * len(text):
+                    continue
                 # longest run of consecutive suffixes on one diagonal
                 diagonal = np.lexsort((q, p - q))
                 dp, dq = (p - q)[diagonal], q[diagonal]
                 breaks = np.flatnonzero(np.concatenate([[True], (dp[1:] != dp[:-1]) | (dq[1:] != dq[:-1] + 1)]))
                 runs = np.diff(np.concatenate([breaks, [len(dp)]]))
                 r = int(runs.argmax())
-                at = diagonal[breaks[r]]
-                rows.append((int(ids[doc[s]]), int(items.ids[item[s]]), span / len(text), int(runs[r]) + SEED - 1, int(p[at]), int(q[at])))
+                first = diagonal[breaks[r]]
+                rows.append((int(ids[doc[s]]), int(items.ids[item[s]]), float(span / len(text)), int(runs[r]) + SEED - 1, int(p[first]), int(q[first])))
     short = [k for k, t in enumerate(items.texts) if 0 < len(t) < SEED]
     for k in short:
         t = items.texts[k]
