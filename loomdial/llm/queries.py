@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from loomdial.functions.text import SIMPLIFIED, TRADITIONAL
 from loomdial.llm.canonical import canonical_values, unmatched_values
 from loomdial.llm.defects import answer_defects
 from loomdial.llm.leaks import clean_documents, leaks
 from loomdial.llm.mixing import Mixture
 from loomdial.llm.neardup import similar_sessions
-from loomdial.llm.sampling import session_sample
+from loomdial.llm.sampling import UNKNOWN, session_sample
 from loomdial.llm.splits import linked_topics, split_records
 from loomdial.llm.subjects import SubjectClassifier, composition
 from loomdial.session import read
@@ -109,4 +110,48 @@ def p9_composition(spark, d):
 
 
 QUERIES = {k: v for k, v in list(globals().items()) if k[0] == "p" and k[1].isdigit()}
-ORACLE: dict[str, str] = {}
+
+# --- SQL of the queries that SQL can express, for DuckDB
+
+_WIDE = "".join(chr(c) for c in range(0xFF01, 0xFF5F)) + "　"
+_NARROW = ("".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)) + " ").replace("'", "''")
+
+
+def _id(c: str) -> str:
+    bare = f"regexp_replace(lower(translate({c}, '{_WIDE}', '{_NARROW}')), '[\\s_\\-]+', '', 'g')"
+    return f"nullif(regexp_replace({bare}, '([^0-9]|^)0+([0-9])', '\\1\\2', 'g'), '')"
+
+
+def _label(c: str) -> str:
+    k = f"regexp_replace(translate(lower(translate({c}, '{_WIDE}', '{_NARROW}')), '{TRADITIONAL}', '{SIMPLIFIED}'), '[\\s]+', '', 'g')"
+    k = f"regexp_replace({k}, '^[“”\"\\[【]*(场景)?([(（]?[0-9]{{1,2}}[)）]?[.、:：,，]?|[①-⑳])', '')"
+    k = f"regexp_replace({k}, '[^一-龥a-z0-9]', '', 'g')"
+    k = f"regexp_replace(regexp_replace(regexp_replace({k}, '的?学生$', ''), '^学生', ''), '型$', '')"
+    return f"CASE WHEN {k} NOT IN ('', {', '.join(repr(u) for u in UNKNOWN)}) THEN {k} END"
+
+
+_ONCE = "(SELECT * FROM {0} QUALIFY row_number() OVER (PARTITION BY {1} ORDER BY ingested_at) = 1)"
+_LINKS = f"""
+e AS (SELECT DISTINCT {_id('conv_id')} AS c, {_id("single_turn_metadata['topic_id']")} AS t FROM flat_rows),
+l AS (SELECT DISTINCT a.t AS x, b.t AS y FROM e a JOIN e b USING (c) WHERE a.t <> b.t),
+r(x, y) AS (SELECT x, y FROM l UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x),
+n AS (SELECT {_id('topic_id')} AS k, min(topic_id) AS topic_id FROM topics GROUP BY 1)"""
+
+ORACLE: dict[str, str] = {
+    "p1_found": f"""
+WITH s AS (SELECT {_label('student_type')} AS ty, {_label('scenario')} AS sc, {_id('topic_id')} AS tp FROM {_ONCE.format('sessions', 'session_no')}),
+t AS (SELECT target_id, target_permille, min_rows, student_type IS NULL AS ny, scenario IS NULL AS ns, topic_id IS NULL AS nt, {_label('student_type')} AS ty, {_label('scenario')} AS sc, {_id('topic_id')} AS tp FROM sample_targets)
+SELECT target_id FROM t WHERE (SELECT count(*) FROM s WHERE (ny OR s.ty = t.ty) AND (ns OR s.sc = t.sc) AND (nt OR s.tp = t.tp))
+  < greatest(min_rows, ceil(target_permille * floor((SELECT count(*) FROM s) / 5) / 1000.0))""",
+    "p5_found": f"""
+WITH s AS (SELECT session_no, regexp_replace(lower(array_to_string(list_transform(dialogue, lambda q: coalesce(q.content, '')), '')), '[^一-龥a-z0-9]', '', 'g') AS x FROM {_ONCE.format('sessions', 'session_no')}),
+g AS (SELECT session_no, unnest(list_distinct(list_transform(range(1, len(x) - 3), lambda i: x[i:i + 4]))) AS r FROM s WHERE length(x) >= 5),
+n AS (SELECT session_no, count(*) AS n FROM g GROUP BY 1),
+b AS (SELECT a.session_no AS session_a, b.session_no AS session_b, count(*) AS c FROM g a JOIN g b ON a.r = b.r AND a.session_no < b.session_no GROUP BY 1, 2)
+SELECT session_a, session_b FROM b JOIN n na ON na.session_no = session_a JOIN n nb ON nb.session_no = session_b WHERE c >= 0.6 * (na.n + nb.n - c)""",
+    "p6_found": f"WITH RECURSIVE {_LINKS} SELECT DISTINCT a.topic_id AS topic_a, b.topic_id AS topic_b FROM r JOIN n a ON a.k = r.x JOIN n b ON b.k = r.y WHERE a.topic_id < b.topic_id",
+    # no case depends on the tokenizer, so characters stand for tokens here
+    "p8_found": """
+WITH d AS (SELECT source, sum(length(text)) AS t FROM documents WHERE source IN (SELECT source FROM mix_targets) GROUP BY 1)
+SELECT m.source FROM mix_targets m LEFT JOIN d USING (source) WHERE coalesce(d.t, 0) * max_repeats * 1000 < weight_permille * (SELECT sum(t) FROM d)""",
+}
