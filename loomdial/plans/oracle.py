@@ -228,4 +228,6 @@ FROM s FULL JOIN u USING (session_no) GROUP BY ALL""",
     "finished_sessions": f"WITH {S} SELECT session_no, len(list_filter(dialogue, lambda q: coalesce(contains(q.content, '[结束]'), false))) > 0 AS finished, md5(coalesce(nullif({strip("replace(dialogue[-1].content, '[结束]', '')")}, ''), '（对话已结束）')) AS last FROM s",
     "path_and_model_names": "SELECT doc_id, coalesce(source, 'none') AS file, 'g' || (doc_id % 15) AS model, doc_id % 15 BETWEEN 1 AND 11 AS ablation, false AS junk FROM documents",
     "display_scores": "SELECT l_linenumber || '.5%' AS display, (l_linenumber || '.5')::DOUBLE / 100 AS score, count(*) AS n FROM lineitem GROUP BY 1, 2",
+    "lenient_json": "SELECT event_type AS kind, '[1, 2,]' AS a, count(*) AS n, sum(event_id) AS total FROM events GROUP BY 1",
+    "annotate_udf": f"WITH {F} SELECT CASE WHEN completion IS NULL THEN NULL WHEN regexp_matches(completion, '[?？]') THEN 1.0 ELSE 0.0 END AS score, count(*) AS n FROM f GROUP BY 1",
 }

@@ -482,3 +482,44 @@ def display_scores(spark, d):
 @query
 def chart_axis(spark, d):
     return metric_summary_by_group(spark, d).agg(F.max("total_score").alias("best"), merge.axis_top(F.max("total_score")).alias("top"))
+
+
+# --- functions without SQL, simulation
+
+
+@query
+def lenient_json(spark, d):
+    """Sloppy JSON made from event rows, read again."""
+    from loomdial.functions.lenient import first_array_text
+    from loomdial.functions.lenient import lenient_json as read_json
+
+    sloppy = F.concat(F.lit("answer: {'kind': '"), F.col("event_type"), F.lit("', 'n': "), F.col("event_id").cast("string"), F.lit(", flag: TRUE, list: [1, 2,],} thanks"))
+    e = read(spark, d, "events").select("event_type", "event_id", read_json(sloppy).alias("j"), first_array_text(sloppy).alias("a"))
+    return e.groupBy(F.get_json_object("j", "$.kind").alias("kind"), "a").agg(F.count("*").alias("n"), F.sum(F.get_json_object("j", "$.n").cast("bigint")).alias("total"))
+
+
+@query
+def simulate_rounds(spark, d):
+    from loomdial.streaming.simulate import simulate
+
+    s = clean.once(_sessions(spark, d).select("session_no", F.slice(dialogue.chat_messages(F.col("dialogue")), 1, 1).alias("history")))
+    return simulate(s.withColumnRenamed("session_no", "id")).groupBy("active", F.size("history").alias("messages")).agg(F.count("*").alias("n"))
+
+
+@query
+def synthesize_candidates(spark, d):
+    from loomdial.functions.registry import get
+    from loomdial.streaming.simulate import echo_responder, synthesize
+
+    s = clean.once(_sessions(spark, d).select("session_no", F.slice(dialogue.chat_messages(F.col("dialogue")), 1, 1).alias("history"))).withColumnRenamed("session_no", "id")
+    out = synthesize(s, echo_responder, lambda _h, texts: get("length")(texts))
+    return out.groupBy("turn_id", "candidate_no", "chosen").agg(F.count("*").alias("n"))
+
+
+@query
+def annotate_udf(spark, d):
+    """Answers scored once per distinct text by a registered metric (UDF-01..05, STM-07)."""
+    from loomdial.functions.registry import score_once
+
+    f = _flat(spark, d, "completion")
+    return score_once(f, "completion", "strip->question").groupBy("score").agg(F.count("*").alias("n"))
