@@ -41,9 +41,10 @@ _NUMBER = r"(?:[0-9]+[.、)）]|[(（][0-9]+[)）]|[①-⑳])"
 
 
 def _mask(c: Column) -> Column:
-    """Give multi-character separators a private character each: 以及, a space between two names, a space or nothing before numbering."""
+    """Give multi-character separators a private character each: 以及, a space between two names, a space or nothing before numbering; hyphens within words are hidden."""
     c = F.regexp_replace(strip(c), r"^\[(.*)\]$", "$1")
-    c = F.regexp_replace(c, "以及", "")
+    c = F.regexp_replace(c, "以及", "\ue000")
+    c = F.regexp_replace(c, "(?<=[A-Za-z])-(?=[A-Za-z])", "\ue004")  # a hyphen within a word
     c = F.regexp_replace(c, rf"(?<=^|\s)([0-9]+)、(?=[{HAN}])", "$1.")
     c = F.regexp_replace(c, rf"(?<=\S)(?:[ ]+(?=[0-9]+[.)）]\s*[{HAN}A-Za-z])|(?=[①-⑳])|[ ]*(?=[(（][0-9]+[)）]))", "\ue002")
     c = F.regexp_replace(c, rf"(?<=[{HAN}])[ ]{{2,}}(?=[{HAN}])", "\ue001")
@@ -51,7 +52,7 @@ def _mask(c: Column) -> Column:
 
 
 def _unmask(c: Column) -> Column:
-    return F.translate(F.regexp_replace(c, "", "以及"), "", " ")
+    return F.translate(F.regexp_replace(c, "\ue000", "以及"), "\ue001\ue004", " -")
 
 
 def _unit_pattern(char_class: str) -> str:
@@ -59,18 +60,23 @@ def _unit_pattern(char_class: str) -> str:
     return rf"(?:{_QUOTED}|{_BRACKETED}|[^{char_class}])+"
 
 
-def _clean_piece(c: Column) -> Column:
-    c = strip(_unmask(c))
-    c = strip(F.regexp_replace(c, rf"^{_NUMBER}\s*(?=\S)", ""))
-    quoted = F.regexp_replace(F.regexp_extract(c, r'(?s)^"(.*)"$', 1), '""', '"')
-    c = (
-        F.when(c.rlike(r'(?s)^".+"$'), quoted)
-        .when(c.rlike(r"(?s)^“.*”$"), F.regexp_extract(c, r"(?s)^“(.*)”$", 1))
-        .when(c.rlike(r"(?s)^'.*'$"), F.regexp_extract(c, r"(?s)^'(.*)'$", 1))
-        .when(c == '"', F.lit(""))
-        .otherwise(c)
+def _clean_pieces(pieces: Column) -> Column:
+    """Without blanks, numbering and quotes; separators alone are dropped. In steps, so that no expression is repeated within another."""
+    pieces = F.transform(pieces, lambda x: strip(_unmask(x)))
+    pieces = F.transform(pieces, lambda x: strip(F.regexp_replace(x, rf"^{_NUMBER}\s*(?=\S)", "")))
+    pieces = F.transform(
+        pieces,
+        lambda x: F.when(x.rlike(r'(?s)^".+"$'), F.replace(F.substring(x, F.lit(2), F.length(x) - 2), F.lit('""'), F.lit('"')))
+        .when(x.rlike(r"(?s)^(?:“.*”|'.*')$"), F.substring(x, F.lit(2), F.length(x) - 2))
+        .when(x == '"', F.lit(""))
+        .otherwise(x),
     )
-    return strip(c)
+    return F.filter(F.transform(pieces, strip), _is_value)
+
+
+def _is_value(piece: Column) -> Column:
+    """Not empty and more than separators."""
+    return piece.rlike(r"[^,，、;；/／|｜+＋&＆\s]")
 
 
 @dataclass(frozen=True)
@@ -83,15 +89,14 @@ class PackedFieldRules:
     """
 
     min_score: float = 0.4
-    min_support: int = 3
+    min_support: int = 1
     candidates: dict[str, str] = field(default_factory=lambda: dict(CANDIDATES))
 
 
-def split_expr(value: Column, char_class: str | Column) -> Column:
-    """array<string> of the non-empty pieces of a value; the pieces are as written, without blanks, quotes and numbering."""
+def split_masked(masked: Column, char_class: str | Column) -> Column:
+    """array<string> of the pieces of a masked value; the pieces are as written, without blanks, quotes and numbering."""
     pattern = F.lit(_unit_pattern(char_class)) if isinstance(char_class, str) else char_class
-    pieces = F.regexp_extract_all(_mask(value), pattern, F.lit(0))
-    return F.filter(F.transform(pieces, _clean_piece), lambda x: x != "")
+    return _clean_pieces(F.regexp_extract_all(masked, pattern, F.lit(0)))
 
 
 def infer_delimiters(df: DataFrame, value: str, source: str | None = None, rules: PackedFieldRules = PackedFieldRules()) -> DataFrame:
@@ -101,23 +106,28 @@ def infer_delimiters(df: DataFrame, value: str, source: str | None = None, rules
     distinct = df.select(key.alias("_source"), F.col(value).alias("_value")).where(packed).groupBy("_source", "_value").agg(F.count("*").alias("_w"))
     masked = distinct.select("_source", "_w", _mask(F.col("_value")).alias("_m"))
     whole = lambda x: ~x.rlike(r"^[,，、;；/／|｜]")  # noqa: E731  another delimiter right behind this one: this one ends a name
-    pieces, checks, aggs = {}, {}, []
+    kinds, checks, aggs = {}, {}, []
+    # the kind of a piece: h Han, l Latin, e nothing but quotes and brackets, x anything else
+    kind = lambda x: (
+        F.when(x == "", "e")
+        .when(~whole(x), "x")
+        .when(x.rlike("[A-Za-z]"), F.when(x.rlike(rf"^[^{HAN}]*[A-Za-z][^{HAN}]*[A-Za-z][^{HAN}]*$"), "l").otherwise("x"))
+        .otherwise(F.when(x.rlike(rf"^[^{HAN}]?[{HAN}]?$"), "x").otherwise("h"))
+    )
     for name, chars in rules.candidates.items():
         found = F.filter(F.transform(F.regexp_extract_all("_m", F.lit(_unit_pattern(chars)), F.lit(0)), strip), lambda x: x != "")
-        pieces[f"{name}_pieces"] = F.when(F.col("_m").rlike(f"[{chars}]"), found)
-        bare = F.transform(f"{name}_pieces", lambda x: F.regexp_replace(x, rf"{_QUOTED}|[（(].*|^{_NUMBER}", ""))
-        han = F.forall(bare, lambda x: (x.rlike(r"^[^A-Za-z]*$") & ~x.rlike(rf"^[^{HAN}]?[{HAN}]?$") & whole(x)) | (x == ""))
-        latin = F.forall(bare, lambda x: (x.rlike(rf"^[^{HAN}]*[A-Za-z][^{HAN}]*[A-Za-z][^{HAN}]*$") & whole(x)) | (x == ""))
+        bare = F.transform(found, lambda x: F.regexp_replace(x, rf"{_QUOTED}|[（(].*|^{_NUMBER}", ""))
+        kinds[f"{name}_kinds"] = F.when(F.col("_m").rlike(f"[{chars}]"), F.array_join(F.transform(bare, kind), ""))
         n, w = F.col(f"{name}_count"), F.col("_w")
-        checks[f"{name}_count"] = F.when(F.size(f"{name}_pieces") >= 2, F.size(f"{name}_pieces"))
-        checks[f"{name}_ok"] = F.when(F.size(f"{name}_pieces") >= 2, han | latin)
+        checks[f"{name}_count"] = F.when(F.length(f"{name}_kinds") >= 2, F.length(f"{name}_kinds"))
+        checks[f"{name}_ok"] = F.when(F.length(f"{name}_kinds") >= 2, F.col(f"{name}_kinds").rlike("^(?:[he]+|[le]+)$"))
         aggs += [
             F.coalesce(F.sum(F.when(n.isNotNull(), w)), F.lit(0)).alias(f"{name}_n"),
             F.coalesce(F.sum(F.when(F.col(f"{name}_ok"), w)), F.lit(0)).alias(f"{name}_regular"),
             F.sum(n * w).alias(f"{name}_sum"),
             F.sum(n * n * w).alias(f"{name}_square"),
         ]
-    masked = masked.withColumns(pieces).withColumns(checks).drop(*pieces, "_m")
+    masked = masked.withColumns(kinds).withColumns(checks).drop(*kinds, "_m")
     stats = masked.groupBy("_source").agg(*aggs)
     for name in rules.candidates:
         mean = F.try_divide(F.col(f"{name}_sum"), F.col(f"{name}_n"))
@@ -158,14 +168,15 @@ def split_packed(df: DataFrame, value: str, source: str | None = None, rules: Pa
     if source is None:
         row = found.first()  # one row at most
         chars = (row and row["char_class"]) or "\\uE003"
-        pieces = split_expr(F.col(value), chars)
-        with_pieces = df.withColumn("_pieces", F.when(_mask(F.col(value)).rlike(f"[{chars}]"), pieces).otherwise(F.filter(F.array(_clean_piece(F.regexp_replace(strip(F.col(value)), r"^\[(.*)\]$", "$1"))), lambda x: x != "")))
+        plain = F.array(F.regexp_replace(strip(F.col(value)), r"^\[(.*)\]$", "$1"))
+        masked = df.withColumn("_m", _mask(F.col(value)))
+        with_pieces = masked.withColumn("_pieces", F.when(F.col("_m").rlike(f"[{chars}]"), split_masked(F.col("_m"), chars)).otherwise(_clean_pieces(plain))).drop("_m")
     else:
         found = found.select(F.col("source").alias("_source"), F.concat(F.lit(_unit_pattern("\\uE003").rstrip(")+").rstrip("]")), F.col("char_class"), F.lit("])+")).alias("_pattern"))
         small = found.limit(MAX_BROADCAST_SOURCES + 1).count() <= MAX_BROADCAST_SOURCES
         joined = df.join(F.broadcast(found) if small else found, F.col(source).eqNullSafe(F.col("_source")), "left")
         pattern = F.coalesce(F.col("_pattern"), F.lit(_unit_pattern("\\uE003")))
-        with_pieces = joined.withColumn("_pieces", split_expr(F.col(value), pattern)).drop("_source", "_pattern")
+        with_pieces = joined.withColumn("_pieces", split_masked(_mask(F.col(value)), pattern)).drop("_source", "_pattern")
     return (
         with_pieces.withColumn("n_values", F.size("_pieces"))
         .where(F.col("n_values") >= min_values)

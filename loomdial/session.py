@@ -18,6 +18,7 @@ def local_session(app: str = "loomdial", cores: int | str = "*", **conf: str) ->
         "spark.ui.enabled": "false",
         "spark.driver.memory": "12g",
         "spark.ui.showConsoleProgress": "false",
+        "spark.python.sql.dataFrameDebugging.enabled": "false",  # else every Column call takes milliseconds to note its call site
         **conf,
     }.items():
         b = b.config(k, v)
