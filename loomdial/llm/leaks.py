@@ -91,7 +91,7 @@ def suffix_matches(texts: list[str], items: Items) -> tuple[np.ndarray, np.ndarr
 def quoted(pairs: list[tuple[str, str]]) -> np.ndarray:
     """For each item and passage the characters of the item that stand in their best local alignment.
 
-    A changed, missing or inserted character costs as much as three equal ones. All pairs advance together, a character of the items at a time.
+    A changed, missing or inserted character costs as much as three equal ones (an inserted one also three quarters of a character of the result). All pairs advance together, a character of the items at a time.
     """
     rows, width = max(len(a) for a, _ in pairs), max(len(b) for _, b in pairs)
     a = np.full((len(pairs), rows), 0xFFFFFFFE, dtype=np.uint32)
