@@ -230,4 +230,14 @@ FROM s FULL JOIN u USING (session_no) GROUP BY ALL""",
     "display_scores": "SELECT l_linenumber || '.5%' AS display, (l_linenumber || '.5')::DOUBLE / 100 AS score, count(*) AS n FROM lineitem GROUP BY 1, 2",
     "lenient_json": "SELECT event_type AS kind, '[1, 2,]' AS a, count(*) AS n, sum(event_id) AS total FROM events GROUP BY 1",
     "annotate_udf": f"WITH {F} SELECT CASE WHEN completion IS NULL THEN NULL WHEN regexp_matches(completion, '[?？]') THEN 1.0 ELSE 0.0 END AS score, count(*) AS n FROM f GROUP BY 1",
+    "session_summaries": f"""WITH {S}, x AS (SELECT *, flatten(list_transform(coalesce(annotations, []), lambda q: {items('q.teaching_strategy')})) AS st FROM s)
+SELECT session_no, len(dialogue) AS turns, coalesce(len(annotations), 0) AS annotation_count, len(list_filter(dialogue, lambda q: lower(q.role) IN {TEACHER})) AS teacher_turns, len(list_filter(dialogue, lambda q: lower(q.role) IN {STUDENT})) AS student_turns,
+  len(st) AS strategy_count, len(list_distinct(st)) AS strategy_kinds, coalesce(array_to_string(list_sort(list_distinct(list_filter(list_transform(annotations, lambda q: q.discipline), lambda v: v <> ''))), ','), '') AS disciplines,
+  coalesce(array_to_string(list_sort(list_distinct(list_filter(list_transform(annotations, lambda q: q.teacher_guidance_level), lambda v: v <> ''))), ','), '') AS levels,
+  coalesce(len(dialogue) > 0 AND len(annotations) > 0, false) AS consistent, len(list_filter(dialogue, lambda q: coalesce(contains(q.content, '[结束]'), false))) > 0 AS finished FROM x""",
+    "baseline_pairs": f"""WITH {T}, n AS (SELECT session_no, row_number() OVER w - 1 AS ix, {ROLE('role')} AS r, content, list(struct_pack(role := {ROLE('role')}, content := content)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prompt
+  FROM t WHERE coalesce({strip('content')}, '') <> '' WINDOW w AS (PARTITION BY session_no ORDER BY turn_no))
+SELECT n.session_no, ix AS turn_id, {DIGEST('prompt')} AS digest, md5(n.content) AS chosen, 1.0 AS margin FROM n JOIN s USING (session_no) WHERE r = 'assistant' AND ix > 0 AND ix % 3 > 0 AND ix < len(s.dialogue)""",
+    "row_titles": f"WITH {T}, u AS (SELECT session_no, coalesce(arg_min(content, turn_no) FILTER (WHERE lower(role) IN {STUDENT} AND content IS NOT NULL), arg_min(content, turn_no), '') AS x FROM t GROUP BY 1) SELECT session_no, CASE WHEN length(x) > 20 THEN left(x, 20) || '…' ELSE x END AS title FROM u",
+    "latest_delivery": "SELECT topic_id, arg_max(session_no, ingested_at) AS session_no FROM sessions WHERE topic_id IS NOT NULL GROUP BY 1",
 }

@@ -523,3 +523,37 @@ def annotate_udf(spark, d):
 
     f = _flat(spark, d, "completion")
     return score_once(f, "completion", "strip->question").groupBy("score").agg(F.count("*").alias("n"))
+
+
+# --- summaries and small views
+
+
+@query
+def session_summaries(spark, d):
+    from loomdial.operators.views import session_summary
+
+    return clean.once(_sessions(spark, d).select("session_no", *[c.alias(k) for k, c in session_summary().items()]))
+
+
+@query
+def baseline_pairs(spark, d):
+    """Recorded against generated teacher turns; the generated text here is a fixed stub on two of three turns."""
+    from loomdial.operators.views import baseline_pairs as make
+
+    s = clean.once(_sessions(spark, d).select("session_no", "dialogue"))
+    stub = s.select("session_no", F.posexplode("dialogue").alias("turn_id", "t")).select("session_no", "turn_id", F.when(F.col("turn_id") % 3 > 0, "stub").alias("rejected"))
+    return make(s, stub).select("session_no", "turn_id", canon.dialogue_digest(F.col("prompt")).alias("digest"), F.md5(F.col("chosen").cast("binary")).alias("chosen"), "margin")
+
+
+@query
+def row_titles(spark, d):
+    from loomdial.operators.views import row_title, short
+
+    return clean.once(_sessions(spark, d).select("session_no", short(row_title(F.col("dialogue")), 20).alias("title")))
+
+
+@query
+def latest_delivery(spark, d):
+    from loomdial.operators.views import most_recent
+
+    return most_recent(_sessions(spark, d).where("topic_id is not null"), "session_no", "ingested_at", ["topic_id"])
