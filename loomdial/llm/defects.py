@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomdial.functions.text import HAN, half_width, strip
+from loomdial.functions.text import HAN, half_width
 
 #: The order of the rules; where a single type is asked for, the first that holds counts.
 ORDER = ("empty", "refusal", "copied_question", "other_language", "truncated")
@@ -71,13 +71,14 @@ ASKS = {
 }
 
 
-# A text with none of these holds no refusal phrase (a cheap test before the expressions).
-LEXEMES = (
-    "无法 没法 没办法 没有办法 不便 我不 恕 无可奉告 爱莫能助 拒绝 不予 不回答 选择不 不能谈 超出 帮不了 做不到 不具备 不允许 成不 不在可 不在讨论 不适合 不作答 不回应 "
-    "unable able&to can't can’t cannot can&not won't won’t will&not could&not may&not decline refuse pass&on rule&out rules&out forbid prohibit guidelines no&answer "
-    "allowed permitted something&i topic&i qualified designed&not position&to "
-    "no&puedo lo&siento je&ne je&refuse kann&ich darf&ich ich&kann できません かねます 없습니다 어렵습니다 수&없 не&могу"
-)
+# A text with none of these holds no refusal phrase (a cheap test before the expressions). Those with 不 are only looked for behind a 不, the Latin ones
+# only in texts with a space and an e.
+LEXEMES = "无法 没法 办法 恕 无可奉告 爱莫能助 拒绝 超出 できません かねます 없습니다 어렵습니다 могу".split()
+LEXEMES_NOT = "不便 我不 不予 不回答 选择不 不能谈 不了 做不到 不具备 不允许 成不 不在 不适合 不作答 不回应".split()
+LEXEMES_LATIN = [
+    x.replace("&", " ")
+    for x in "able&to can't can’t cannot can&not won't won’t will&not could&not may&not decline refuse pass&on rule&out rules&out forbid prohibit guidelines no&answer allowed permitted something&i topic&i qualified designed&not position&to no&puedo lo&siento je&ne je&refuse kann&ich darf&ich ich&kann".split()
+]
 
 
 def _count(c: Column, chars: str) -> Column:
@@ -90,12 +91,13 @@ def language_columns(df: DataFrame, col: str, to: str) -> DataFrame:
 
     The counts are columns of their own, so that each is taken once; words are only looked at in texts of Latin script.
     """
-    c = F.col(col)
+    c, rest = F.col(col), F.col("_rest")
+    df = df.withColumn("_rest", F.regexp_replace(c, f"[{HAN}]+", ""))  # short for a Chinese text, so that the other counts are cheap
     df = df.withColumns(
         {
-            "_han": _count(c, HAN),
-            "_latin": _count(c, "A-Za-zÀ-ɏ"),
-            "_strange": c.rlike(r"[^\x00-ɏ\u2000-\u206F\u3000-\u303F\u4E00-\u9FA5\uFF00-\uFFEF]"),
+            "_han": F.length(c) - F.length(rest),
+            "_latin": _count(rest, "A-Za-zÀ-ɏ"),
+            "_strange": rest.rlike(r"[^\x00-ɏ\u2000-\u206F\u3000-\u303F\u4E00-\u9FA5\uFF00-\uFFEF]"),
         }
     )
     words = F.split(F.lower(c), r"[^\p{L}]+")
@@ -110,12 +112,13 @@ def language_columns(df: DataFrame, col: str, to: str) -> DataFrame:
     plain = F.when((F.col("_han") > 0) & (F.col("_han") * 4 >= F.col("_latin")), "zh").when(F.col("_latin") > 2, latin)
     other = F.when(F.length(F.regexp_replace(c, r"[^\p{L}]+", "")) > 2, "other")
     found = F.when(F.col("_strange"), F.coalesce(strange, plain, other)).otherwise(plain)
-    return df.withColumn(to, found).drop("_han", "_latin", "_strange")
+    return df.withColumn(to, found).drop("_rest", "_han", "_latin", "_strange")
 
 
 def _key(c: Column) -> Column:
     """What is left for comparing: letters and digits, half width, lower case, 我 and 你 alike."""
-    return F.translate(F.regexp_replace(F.lower(half_width(c)), r"[^\p{L}\p{N}]+", ""), "你您", "我我")
+    bare = F.translate(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", ""), "你您", "我我")
+    return F.when(c.rlike("[Ａ-Ｚａ-ｚ０-９]"), F.lower(half_width(bare))).otherwise(bare)
 
 
 def is_empty(a: Column) -> Column:
@@ -125,7 +128,8 @@ def is_empty(a: Column) -> Column:
 
 def is_refusal(text: Column) -> Column:
     """text: the answer in lower case."""
-    hint = reduce(lambda x, y: x | y, [text.contains(w.replace("&", " ")) for w in LEXEMES.split()])
+    among = lambda ws: reduce(lambda x, y: x | y, [text.contains(w) for w in ws])
+    hint = among(LEXEMES) | (text.contains("不") & among(LEXEMES_NOT)) | (text.contains(" ") & text.contains("e") & among(LEXEMES_LATIN))
     return hint & text.rlike("|".join(REFUSALS_ZH + REFUSALS_EN + REFUSALS_OTHER))
 
 
@@ -157,8 +161,10 @@ def _is_copy(df: DataFrame, q: str, a: str) -> DataFrame:
 
 def _end(a: Column) -> Column:
     """The last characters of an answer, without an end marker in brackets, a closing tag and a gloss behind the sentence end."""
-    end = F.substring(F.rtrim(a), -80, 80)  # all marks that the rules look at stand in the last characters
-    return F.regexp_replace(strip(end), r"\s*(?:[\[【](?:结束|END|end)[\]】]|</?[a-z]+ ?/?>)\s*$|(?<=[。！？!?.])\s*[（(][^（()）]*[）)]$", "")
+    blanks = F.lit(" \t\n\r\x0b\x0c\xa0\u2028\u2029\u3000\u200b\u200c\u200d\u2060\ufeff")
+    end = F.substring(F.rtrim(a, blanks), -80, 80)  # all marks that the rules look at stand in the last characters
+    closed = F.regexp_replace(end, r"\s*(?:[\[【](?:结束|END|end)[\]】]|</?[a-z]+ ?/?>)$|(?<=[。！？!?.])\s*[（(][^（()）]*[）)]$", "")
+    return F.when(F.right(end, F.lit(1)).isin("]", "】", ">", ")", "）"), F.rtrim(closed, blanks)).otherwise(end)
 
 
 def is_truncated(a: Column, t: Column) -> Column:
