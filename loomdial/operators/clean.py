@@ -121,7 +121,9 @@ def balanced_top(df: DataFrame, group: str, score: str, order: str, target: int)
     by_name, by_best = Window.orderBy(group), Window.orderBy(F.desc("_best"), group)
     ranked = groups.withColumns({"_ix": F.row_number().over(by_name) - 1, "_bx": F.row_number().over(by_best)}).join(F.broadcast(sizes))  # one row per group
     quota = F.when(F.lit(target) >= F.col("_k"), F.floor(F.lit(target) / F.col("_k")) + F.when(F.col("_ix") < F.lit(target) % F.col("_k"), 1).otherwise(0)).otherwise(F.when(F.col("_bx") <= target, 1).otherwise(0))
-    placed = df.withColumn("_r", F.row_number().over(within)).join(ranked.select(group, quota.alias("_quota")), group)
+    # quota and fill take at most 2 * target rows of a group: this literal limit is applied in every partition before the exchange, so a hot group stays small
+    best = df.withColumn("_r", F.row_number().over(within)).where(F.col("_r") <= 2 * int(target))
+    placed = best.join(ranked.select(group, quota.alias("_quota")), group)
     chosen = placed.where("_r <= _quota")
     rest = placed.where(f"_r > _quota and _r <= _quota + {int(target)}")
     missing = chosen.agg((F.lit(target) - F.count("*")).alias("_missing"))
