@@ -135,7 +135,7 @@ w AS (SELECT *, flatten(list(cl) OVER p) AS old, list(ci) OVER p AS oldi FROM k
 r AS (SELECT session_no, ann_no, list_contains(cl, 'invalid_echo') AS echo, coalesce(teaching_strategy <> '', false) AS has_s, len(list_filter(cl, lambda i: NOT list_contains(coalesce(old, []), i))) > 0 AS new_s,
   coalesce({strip('lower(discipline_transfer)')} IN {TRUE}, false) AS tr, ci IS NOT NULL AND NOT coalesce(list_contains(oldi, ci), false) AS new_i, coalesce(contains(teacher_guidance_level, 'L3'), false) AS l3 FROM w),
 q AS (SELECT session_no, ann_no, (has_s AND NOT echo)::INT::DOUBLE AS has_strategy, new_s::INT::DOUBLE AS new_strategy, tr::INT::DOUBLE AS transfer, new_i::INT::DOUBLE AS new_intent, (l3 AND NOT echo)::INT::DOUBLE AS l3, echo::INT::DOUBLE AS invalid_echo FROM r)
-SELECT * EXCLUDE (x), round(round(CASE WHEN invalid_echo > 0 THEN greatest(x - 0.15::DOUBLE, 0.0) ELSE x END, 4), 3) AS total_score FROM (SELECT *, 0.25::DOUBLE * has_strategy + 0.15::DOUBLE * new_strategy + 0.2::DOUBLE * transfer + 0.2::DOUBLE * new_intent + 0.2::DOUBLE * l3 AS x FROM q)
+SELECT * EXCLUDE (x), round(CASE WHEN invalid_echo > 0 THEN greatest(x - 0.15::DOUBLE, 0.0) ELSE x END, 4) AS total_score FROM (SELECT *, 0.25::DOUBLE * has_strategy + 0.15::DOUBLE * new_strategy + 0.2::DOUBLE * transfer + 0.2::DOUBLE * new_intent + 0.2::DOUBLE * l3 AS x FROM q)
 """
 
 ORACLE = {
@@ -156,14 +156,14 @@ last AS (SELECT * FROM key WHERE k <> '' QUALIFY row_number() OVER (PARTITION BY
 j AS (SELECT t.session_no, t.turn_no, l.k, l.discipline_transfer, l.teacher_guidance_level, len(list_distinct(list_filter(list_transform({items('teaching_strategy')}, lambda i: {case('i', STRATEGY_PATTERNS)}), lambda i: i IS NOT NULL))) AS cs,
   len(list_distinct(list_filter(list_transform({items('teacher_intent')}, lambda i: {case('i', INTENT_PATTERNS)}), lambda i: i IS NOT NULL))) AS ci
   FROM t JOIN s USING (session_no) LEFT JOIN last l ON l.session_no = t.session_no AND lower(t.role) IN {TEACHER} AND l.k = regexp_replace(coalesce(t.content, ''), '[^一-龥a-zA-Z0-9]', '', 'g') WHERE len(s.annotations) > 0)
-SELECT session_no, turn_no, CASE WHEN k IS NOT NULL THEN round(round(0.35::DOUBLE + (0.15::DOUBLE * CASE WHEN cs > 0 THEN 1 ELSE 0 END + 0.10::DOUBLE * least(cs / 8, 1) + 0.15::DOUBLE * CASE WHEN discipline_transfer IN ('是', 'Yes') THEN 1 ELSE 0 END
-  + 0.15::DOUBLE * least(ci / 4, 1) + 0.10::DOUBLE * CASE WHEN contains(teacher_guidance_level, 'L3') THEN 1 ELSE 0 END), 4), 3) END AS turn_score FROM j
+SELECT session_no, turn_no, CASE WHEN k IS NOT NULL THEN round(0.35::DOUBLE + (0.15::DOUBLE * CASE WHEN cs > 0 THEN 1 ELSE 0 END + 0.10::DOUBLE * least(cs / 8, 1) + 0.15::DOUBLE * CASE WHEN discipline_transfer IN ('是', 'Yes') THEN 1 ELSE 0 END
+  + 0.15::DOUBLE * least(ci / 4, 1) + 0.10::DOUBLE * CASE WHEN contains(teacher_guidance_level, 'L3') THEN 1 ELSE 0 END), 4) END AS turn_score FROM j
 """,
     "drop_reasons_format": f"WITH {T}, {_FORMAT} SELECT coalesce(r, 'pass') AS reason, count(*) AS n FROM ff GROUP BY 1",
     "drop_reasons_content": f"WITH {T}, {_CONTENT} SELECT coalesce(r, 'pass') AS reason, count(*) AS n FROM s LEFT JOIN cr USING (session_no) GROUP BY 1",
     "drop_reasons_safety": f"WITH {T}, {_SAFETY} SELECT coalesce(r, 'pass') AS reason, count(*) AS n FROM s LEFT JOIN sr USING (session_no) GROUP BY 1",
     "funnel_reasons": f"{_FUNNEL} SELECT session_no, reason FROM g",
-    "pipeline": f"{_FUNNEL} SELECT session_no, round(total_score, 3) AS total_score FROM (SELECT *, row_number() OVER (ORDER BY total_score DESC NULLS LAST, session_no) AS rn, count(*) OVER () AS n FROM g WHERE reason = 'pass') WHERE rn <= greatest(floor(n * 0.35::DOUBLE), least(n, 100))",
+    "pipeline": f"{_FUNNEL} SELECT session_no, total_score FROM (SELECT *, row_number() OVER (ORDER BY total_score DESC NULLS LAST, session_no) AS rn, count(*) OVER () AS n FROM g WHERE reason = 'pass') WHERE rn <= greatest(floor(n * 0.35::DOUBLE), least(n, 100))",
     "annotations_complete": f"WITH {S} SELECT session_no, len(annotations) AS n, len(list_filter(annotations, lambda q: {complete('q')})) AS complete FROM s WHERE len(annotations) > 0",
     "nonblank_turns": f"WITH {S} SELECT session_no, len(dialogue) AS n, len(list_filter(dialogue, lambda q: coalesce({strip('q.content')} <> '', false))) AS filled FROM s",
     "quality_stats": f"WITH {S} SELECT count(quality_score) AS n, min(quality_score) AS least, max(quality_score) AS most, round(avg(quality_score), 6) AS mean FROM s",

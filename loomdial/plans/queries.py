@@ -55,14 +55,12 @@ def session_metrics_c(spark, d):
 
 @query
 def turn_scores_d(spark, d):
-    out = metrics.turn_scores_d(_sessions(spark, d), ["session_no"]).dropDuplicates(["session_no", "ann_no"])
-    return out.withColumn("total_score", F.round("total_score", 3))
+    return metrics.turn_scores_d(_sessions(spark, d), ["session_no"]).dropDuplicates(["session_no", "ann_no"])
 
 
 @query
 def turn_scores_e(spark, d):
-    out = metrics.turn_scores_e(_sessions(spark, d), ["session_no"]).dropDuplicates(["session_no", "turn_no"])
-    return out.withColumn("turn_score", F.round("turn_score", 3))
+    return metrics.turn_scores_e(_sessions(spark, d), ["session_no"]).dropDuplicates(["session_no", "turn_no"])
 
 
 @query
@@ -174,7 +172,7 @@ def balanced_sample(spark, d):
 @query
 def pipeline(spark, d):
     """Clean and select in one go."""
-    return clean.run_pipeline(_sessions(spark, d)).select("session_no", F.round("total_score", 3).alias("total_score"))
+    return clean.run_pipeline(_sessions(spark, d)).select("session_no", "total_score")
 
 
 # --- conversion
