@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomdial.functions.canon import is_student, is_teacher, py_strip
 from loomdial.operators.metrics import session_metrics_a
+from loomdial.session import cut
 
 # Roles that the format rule admits, patterns that give an answer away, patterns of refusals.
 ADMITTED_ROLES = ("学生", "教师", "teacher", "student")
@@ -134,7 +135,7 @@ def balanced_top(df: DataFrame, group: str, score: str, order: str, target: int)
 
 def run_pipeline(sessions: DataFrame, target: int | None = None) -> DataFrame:
     """Cleaned and selected sessions: the funnel, then balanced_top for a target below the number left, all for a larger target, top_share without one."""
-    passed = once(funnel(sessions, ["session_no", "topic_id"]).where("reason = 'pass'"))
+    passed = cut(once(funnel(sessions, ["session_no", "topic_id"]).where("reason = 'pass'")))  # narrow rows; the selection reads them twice
     if target is None:
         return top_share(passed, "total_score", "session_no")
     return balanced_top(passed, "topic_id", "total_score", "session_no", target)
