@@ -71,13 +71,13 @@ ASKS = {
 }
 
 
-# A text with none of these holds no refusal phrase (a cheap test before the expressions). Those with 不 are only looked for behind a 不, the Latin ones
-# only in texts with a space and an e.
-LEXEMES = "无法 没法 办法 恕 无可奉告 爱莫能助 拒绝 超出 できません かねます 없습니다 어렵습니다 могу".split()
+# A text with none of these holds no refusal phrase (a cheap test before the expressions; every alternative of REFUSALS_* has to hold one). Those with 不
+# are only looked for behind a 不, the Latin ones only in texts with a space.
+LEXEMES = [*"无法 没法 办法 恕 无可奉告 爱莫能助 拒绝 超出 できません かねます 없습니다 어렵습니다 могу".split(), "수 없"]
 LEXEMES_NOT = "不便 我不 不予 不回答 选择不 不能谈 不了 做不到 不具备 不允许 成不 不在 不适合 不作答 不回应".split()
 LEXEMES_LATIN = [
     x.replace("&", " ")
-    for x in "able&to can't can’t cannot can&not won't won’t will&not could&not may&not decline refuse pass&on rule&out rules&out forbid prohibit guidelines no&answer allowed permitted something&i topic&i qualified designed&not position&to no&puedo lo&siento je&ne je&refuse kann&ich darf&ich ich&kann".split()
+    for x in "able&to what&i cant can't can’t cannot can&not wont won't won’t will&not could&not may&not decline refuse pass&on rule&out rules&out forbid prohibit guidelines no&answer allowed permitted something&i topic&i qualified designed&not position&to no&puedo lo&siento je&ne je&refuse kann&ich darf&ich ich&kann".split()
 ]
 
 
@@ -129,7 +129,7 @@ def is_empty(a: Column) -> Column:
 def is_refusal(text: Column) -> Column:
     """text: the answer in lower case."""
     among = lambda ws: reduce(lambda x, y: x | y, [text.contains(w) for w in ws])
-    hint = among(LEXEMES) | (text.contains("不") & among(LEXEMES_NOT)) | (text.contains(" ") & text.contains("e") & among(LEXEMES_LATIN))
+    hint = among(LEXEMES) | (text.contains("不") & among(LEXEMES_NOT)) | (text.contains(" ") & among(LEXEMES_LATIN))
     return hint & text.rlike("|".join(REFUSALS_ZH + REFUSALS_EN + REFUSALS_OTHER))
 
 

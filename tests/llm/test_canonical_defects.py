@@ -1,10 +1,13 @@
+from itertools import product
+from re import _parser
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from loomdial.llm.canonical import Trie, canonical_values, limit, map_to_entries
-from loomdial.llm.defects import ORDER, with_defects
+from loomdial.llm.defects import ORDER, REFUSALS_EN, REFUSALS_OTHER, REFUSALS_ZH, is_refusal, with_defects
 from loomdial.sources.readers import ANNOTATION
 
 VOCABULARY = [(1, "f", "追问", "follow-up questioning", ["续问", "连续追问"]), (2, "f", "提示", "hint", ["启发"]), (3, "f", "引导推理", "reasoning guidance", ["引导思考"]), (4, "f", "理解", "understand", None)]
@@ -88,3 +91,42 @@ def test_very_long_texts(spark):
     df = spark.createDataFrame([(1, q, q), (2, q, "别的回答。" * 5000), (3, "短问题是什么？", q)], "i int, q string, a string")
     got = {r["i"]: list(r["defects"]) for r in with_defects(df).select("i", F.col("defects")).collect()}
     assert got == {1: ["copied_question"], 2: [], 3: []}
+
+
+def phrases(pattern):
+    """The texts of a regular expression: each alternative, repeats at their least and most, x for any character."""
+
+    def expand(parts):
+        return ["".join(x) for x in product(*[of(*p) for p in parts])]
+
+    def of(op, arg):
+        op = str(op)
+        if op == "LITERAL":
+            return [chr(arg)]
+        if op in ("ANY", "NOT_LITERAL") or (op == "IN" and str(arg[0][0]) == "NEGATE"):
+            return ["x"]
+        if op == "IN":
+            return [chr(v) for _, v in arg]
+        if op == "BRANCH":
+            return [t for branch in arg[1] for t in expand(branch)]
+        if op == "SUBPATTERN":
+            return expand(arg[-1])
+        assert op == "MAX_REPEAT", op
+        return [t for n in sorted({arg[0], arg[1]}) for t in expand(list(arg[2]) * n)]
+
+    return expand(_parser.parse(pattern))
+
+
+def test_every_refusal_phrase_passes_the_cheap_test(spark):
+    texts = [t for p in REFUSALS_ZH + REFUSALS_EN + REFUSALS_OTHER for t in phrases(p)]
+    df = spark.createDataFrame([(t,) for t in dict.fromkeys(texts)], "t string")
+    assert df.count() > 500
+    assert [r["t"] for r in df.where(~is_refusal(F.col("t"))).collect()] == []
+
+
+@pytest.mark.parametrize(
+    ("q", "a"),
+    [(Q_EN, "I'm sorry, but I can't assist with that."), (Q_EN, "I cannot assist with that."), (Q_EN, "I can't discuss this topic."), (Q_EN, "Sorry, I won't talk about that."), (Q_EN, "I cant assist with that."), ("왜 그럴까요?", "도와드릴 수 없어요.")],
+)
+def test_refusals_without_common_letters(spark, q, a):
+    assert with_defects(spark.createDataFrame([(q, a)], "q string, a string")).first()["defects"][0] == "refusal"
