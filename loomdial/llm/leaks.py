@@ -1,8 +1,8 @@
 """Evaluation texts in training text: suffix arrays of training shards, binary-searched with every test suffix.
 
 Each task sorts the suffixes of shards of about SHARD characters (whole documents) and looks up every suffix of every item by
-binary search; runs of consecutive suffixes are the longest verbatim matches, with their places in item and document. Where the matches of an
-item lie close together in a document, that passage is aligned with the item, which decides. Nothing is exchanged: only the items, in blocks of
+binary search; runs of consecutive suffixes are the longest verbatim matches, with their places in item and document. Wherever matches of an
+item lie close together in a document, that passage is aligned with the item; the best passage decides. Nothing is exchanged: only the items, in blocks of
 bounded size, travel to the tasks.
 """
 
@@ -120,6 +120,21 @@ def quoted(pairs: list[tuple[str, str]]) -> np.ndarray:
     return span - (span - best) / (_GAP + 1)
 
 
+def windows(p: np.ndarray, q: np.ndarray, width: int, cover: float) -> list[tuple[int, int]]:
+    """Lowest and highest offset (place in the document less place in the item) of every window of offsets that no other one contains and whose seeds hold at least cover different characters of the item."""
+    order = np.argsort(p - q, kind="stable")
+    offset, q = (p - q)[order], q[order]
+    begins = np.flatnonzero(np.concatenate([[True], offset[1:] != offset[:-1]]))
+    ends = np.searchsorted(offset, offset[begins] + width, "right")
+    count = ends - begins
+    likely = np.concatenate([[True], ends[1:] > ends[:-1]]) & (count + (SEED - 1) * np.minimum(count, cover / SEED) >= cover)
+    out = []
+    for b, e in zip(begins[likely], ends[likely]):
+        if np.minimum(np.diff(np.unique(q[b:e])), SEED).sum() + SEED >= cover:
+            out.append((int(offset[b]), int(offset[e - 1])))
+    return out
+
+
 def _shard_leaks(ids: np.ndarray, texts: list[str], items: Items, share: float) -> pd.DataFrame:
     doc, place, item, j = suffix_matches(texts, items)
     rows = []
@@ -133,33 +148,29 @@ def _shard_leaks(ids: np.ndarray, texts: list[str], items: Items, share: float)
         for s, e, cover in zip(cut, ends, least):
             if e - s + (SEED - 1) * min(e - s, cover / SEED) < cover:
                 continue
-            text, p, q = items.texts[item[s]], place[s:e], j[s:e]
-            offset = np.sort(p - q)
-            width = len(text) // 6 + 16
-            counts = np.searchsorted(offset, offset + width, "right") - np.arange(len(offset))
-            k = int(counts.argmax())
-            low, high = int(offset[k]), int(offset[k + counts[k] - 1])
-            places = np.unique(q[(p - q >= low) & (p - q <= high)])
-            if np.minimum(np.diff(places), SEED).sum() + SEED < cover:
-                continue
-            begin, end = max(0, low - 20), high + len(text) + 20
-            chosen.append((int(s), int(e), texts[doc[s]][begin:end]))
+            text = items.texts[item[s]]
+            for low, high in windows(place[s:e], j[s:e], len(text) // 6 + 16, cover):
+                begin, end = max(0, low - 20), high + len(text) + 20
+                chosen.append((int(s), int(e), texts[doc[s]][begin:end]))
         chosen.sort(key=lambda x: (len(x[2]), len(items.texts[item[x[0]]])))  # alike in length: little padding
+        spans: dict[tuple[int, int], float] = {}  # the best passage of each document and item
         for at in range(0, len(chosen), 64):
             batch = chosen[at : at + 64]
             given = quoted([(items.texts[item[s]], passage) for s, _, passage in batch])
             for (s, e, _), span in zip(batch, given):
-                text, p, q = items.texts[item[s]], place[s:e], j[s:e]
-                if span < share * len(text):
-                    continue
-                # longest run of consecutive suffixes on one diagonal
-                diagonal = np.lexsort((q, p - q))
-                dp, dq = (p - q)[diagonal], q[diagonal]
-                breaks = np.flatnonzero(np.concatenate([[True], (dp[1:] != dp[:-1]) | (dq[1:] != dq[:-1] + 1)]))
-                runs = np.diff(np.concatenate([breaks, [len(dp)]]))
-                r = int(runs.argmax())
-                first = diagonal[breaks[r]]
-                rows.append((int(ids[doc[s]]), int(items.ids[item[s]]), float(span / len(text)), int(runs[r]) + SEED - 1, int(p[first]), int(q[first])))
+                spans[s, e] = max(spans.get((s, e), 0.0), float(span))
+        for (s, e), span in spans.items():
+            text, p, q = items.texts[item[s]], place[s:e], j[s:e]
+            if span < share * len(text):
+                continue
+            # longest run of consecutive suffixes on one diagonal
+            diagonal = np.lexsort((q, p - q))
+            dp, dq = (p - q)[diagonal], q[diagonal]
+            breaks = np.flatnonzero(np.concatenate([[True], (dp[1:] != dp[:-1]) | (dq[1:] != dq[:-1] + 1)]))
+            runs = np.diff(np.concatenate([breaks, [len(dp)]]))
+            r = int(runs.argmax())
+            first = diagonal[breaks[r]]
+            rows.append((int(ids[doc[s]]), int(items.ids[item[s]]), span / len(text), int(runs[r]) + SEED - 1, int(p[first]), int(q[first])))
     short = [k for k, t in enumerate(items.texts) if 0 < len(t) < SEED]
     for k in short:
         t = items.texts[k]

@@ -1,8 +1,9 @@
 import random
 
+import numpy as np
 import pytest
 
-from loomdial.llm.leaks import Items, clean_documents, leaks, quoted, suffix_matches
+from loomdial.llm.leaks import Items, clean_documents, leaks, quoted, suffix_matches, windows
 from loomdial.llm.subjects import SubjectClassifier, composition, features
 
 LETTERS = [chr(0x4E00 + i) for i in range(400)]
@@ -57,6 +58,36 @@ def test_leaks_against_known_cases(spark, rng):
     assert clean_documents(df, ev).count() == len(docs) - len({d for d, _ in want})
 
 
+def test_every_passage_of_an_item_is_aligned(spark, rng):
+    item = text(rng, 120)
+    changed = "".join("错" if k % 13 == 12 else c for k, c in enumerate(item[40:]))
+    phrase = text(rng, 30)
+    other = phrase + text(rng, 90)
+    thinned = "".join("错" if k % 12 == 11 else c for k, c in enumerate(other))
+    docs = [
+        (1, item[:55] + text(rng, 300) + changed),  # the denser window falls short
+        (2, changed + text(rng, 300) + item[:55]),
+        (3, item[:55] + text(rng, 300)),
+        (4, phrase * 20 + text(rng, 300) + thinned),  # a phrase said often is one part of the item only
+        (5, phrase * 20),
+    ]
+    df, ev = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame([(1, item), (2, other)], "item_id bigint, text string")
+    found = leaks(df, ev).collect()
+    assert sorted((r["doc_id"], r["item_id"]) for r in found) == [(1, 1), (2, 1), (4, 2)]
+    assert {r["doc_id"]: round(r["share"] * 120) for r in found if r["item_id"] == 1} == {1: 72, 2: 72}  # the last two characters, behind a changed one, do not raise the score
+
+
+def test_windows_against_all_windows(rng):
+    for _ in range(200):
+        n = rng.randrange(1, 40)
+        p, q = np.array([rng.randrange(60) for _ in range(n)]), np.array([rng.randrange(30) for _ in range(n)])
+        width, cover = rng.randrange(1, 20), rng.randrange(8, 30)
+        inside = lambda low: {(int(a), int(b)) for a, b in zip(p, q) if low <= a - b <= low + width}  # noqa: E731, B023
+        full = [w for w in (inside(low) for low in range(-40, 70)) if len({b + k for _, b in w for k in range(8)}) >= cover]
+        want = {(min(a - b for a, b in w), max(a - b for a, b in w)) for w in full if not any(w < v for v in map(inside, range(-40, 70)))}
+        assert set(windows(p, q, width, cover)) == want
+
+
 def test_short_items_blocks_and_nothing(spark, monkeypatch):
     df = spark.createDataFrame([(1, "这里有三个字吧"), (2, "没有")], "doc_id bigint, text string")
     ev = spark.createDataFrame([(1, "三个字"), (2, "四个字")], "item_id bigint, text string")
