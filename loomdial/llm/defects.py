@@ -133,30 +133,36 @@ def is_refusal(text: Column) -> Column:
     return hint & text.rlike("|".join(REFUSALS_ZH + REFUSALS_EN + REFUSALS_OTHER))
 
 
-#: Up to this length the copy test is an edit distance, beyond it a comparison of the sentences.
-LONG = 600
-
-
 def _is_copy(df: DataFrame, q: str, a: str) -> DataFrame:
-    """Add _copy: the answer is the question, once or several times, behind a short lead-in or not, up to a fifth of its characters changed."""
+    """Add _copy: the answer is the question, once or several times, behind a short lead-in or not, up to a fifth of its characters changed.
+
+    The rule is the same for texts of any length; a question has four letters or digits at least.
+    """
     df = df.withColumns({"_kq": _key(F.col(q)), "_ka": _key(F.col(a))})
     lead = F.length(_key(F.regexp_extract(F.col(a), r"^[^：:]{1,24}[：:]", 0)))
     df = df.withColumns({"_n": F.length("_kq"), "_m": F.length("_ka"), "_lead": F.when(F.col(a).rlike("^[^：:]{1,24}[：:]"), lead).otherwise(0)})
     n = F.col("_n")
 
-    def near(lead_in: Column, times: int) -> Column:
-        most = F.ceil(n * times * 0.22)
-        x = F.expr("substring(_ka, _lead + 1)") if lead_in is not None else F.col("_ka")
-        length = F.col("_m") - (lead_in if lead_in is not None else 0)
-        guard = F.abs(length - n * times) <= most
-        return F.when(guard, F.levenshtein(F.repeat("_kq", times) if times > 1 else F.col("_kq"), x) <= most).otherwise(False)
-
-    behind = lambda t: F.when(F.col("_lead") > 0, near(F.col("_lead"), t)).otherwise(False)
-    short = (n >= 4) & (n <= LONG) & (near(None, 1) | near(None, 2) | behind(1) | behind(2))
-    sentences = lambda c: F.filter(F.transform(F.split(c, r"[。！？!?\n.；;]"), _key), lambda x: F.length(x) > 3)
-    shared = F.size(F.array_intersect(sentences(F.col(a)), sentences(F.col(q))))
-    long = F.when((n > LONG) & (F.col("_m") * 2 >= n), (shared > 0) & (shared >= 0.8 * F.size(F.array_distinct(sentences(F.col(a)))))).otherwise(False)
-    return df.withColumn("_copy", F.coalesce(short | long, F.lit(False))).drop("_kq", "_ka", "_n", "_m", "_lead")
+    def near(x: Column, length: Column, times: Column) -> Column:
+        most = F.ceil(n * times * 0.22).cast("int")
+        return (F.abs(length - n * times) <= most) & (F.call_function("levenshtein", F.repeat("_kq", times), x, most) >= 0)  # a band of the table only
+
+    def copied(x: Column, length: Column) -> Column:
+        """Once is the common case; other counts of repetitions are tried where a cheap bound allows: a character that the question has not is an edit."""
+        once = F.when(F.abs(length - n) <= F.ceil(n * 0.22), (F.col("_kq") == x) | near(x, length, F.lit(1))).otherwise(False)
+        low, high = F.greatest(F.lit(2), F.floor(length / (n * 1.22)).cast("int")), F.ceil(length / (n * 0.78)).cast("int")
+        strange = F.length(F.call_function("translate", x, F.col("_kq"), F.lit("")))
+        # each edit changes one of the blocks of three characters at most; the others stand in the question, or where it meets itself
+        blocks = F.regexp_extract_all(x, F.lit("..."), F.lit(0))
+        known = F.size(F.filter(blocks, lambda w: F.contains(F.repeat("_kq", F.lit(2)), w)))
+        often = F.exists(F.sequence(low, high), lambda t: near(x, length, t))
+        edits = F.ceil(n * high * 0.22)
+        often = F.when(F.floor(length / 3) - known <= edits, often).otherwise(False)
+        return once | F.when((length > n * 1.22) & (strange <= edits), often).otherwise(False)
+
+    behind = F.when(F.col("_lead") > 0, copied(F.expr("substring(_ka, _lead + 1)"), F.col("_m") - F.col("_lead"))).otherwise(False)
+    copy = F.when(n >= 4, copied(F.col("_ka"), F.col("_m")) | behind).otherwise(False)
+    return df.withColumn("_copy", F.coalesce(copy, F.lit(False))).drop("_kq", "_ka", "_n", "_m", "_lead")
 
 
 def _end(a: Column) -> Column:

@@ -1,3 +1,4 @@
+import random
 from itertools import product
 from re import _parser
 
@@ -130,3 +131,46 @@ def test_every_refusal_phrase_passes_the_cheap_test(spark):
 )
 def test_refusals_without_common_letters(spark, q, a):
     assert with_defects(spark.createDataFrame([(q, a)], "q string, a string")).first()["defects"][0] == "refusal"
+
+
+def changed(text, every):
+    return "".join("变" if k % every == every - 1 else c for k, c in enumerate(text))
+
+
+def test_copies_of_any_length_and_number(spark):
+    names = [chr(0x4E00 + i) for i in range(3000)]
+    q = {n: "".join(names[(7 * k * k + 3 * k) % 2999] for k in range(n)) for n in (20, 590, 610, 2000)}
+    english = "Is it true that friction is just a solar eclipse?"
+    rows = [(q[n], "。".join(c[i : i + 15] for i in range(0, n, 15)) + "。", True) for n in q for c in [changed(q[n], 10)]]
+    rows += [(q[n], changed(q[n], 3) + "。", False) for n in q] + [(q[n], q[n][: n // 2] + "。", False) for n in q]
+    rows += [(q[20], (q[20] + "。") * t, True) for t in (2, 3, 4, 7)] + [(q[610], "你问的是：" + changed(q[610], 8) * 3 + "。", True)]
+    rows += [(q[20], changed(q[20], 6) * 5 + "。", True), (q[20], changed(q[20], 3) * 5 + "。", False), (english, english * 3, True), (english, "You said: " + english * 5, True)]
+    rows += [(english, "It is said that the moon hides the sun for a while, but is that a force at all? Rub your hands and tell me what it is that you feel.", False), ("", "你好。", False), (None, "你好。", False)]
+    df = spark.createDataFrame([(i, a, b) for i, (a, b, _) in enumerate(rows)], "i int, q string, a string")
+    got = {r["i"]: "copied_question" in r["defects"] for r in with_defects(df).collect()}
+    assert [got[i] for i in range(len(rows))] == [r[2] for r in rows]
+
+
+def test_copies_against_every_number_of_repetitions(spark):
+    rng = random.Random(3)
+    rows = []
+    for _ in range(300):
+        q = "".join(rng.choice("abcdef") for _ in range(rng.randrange(4, 9)))
+        a = list(q * rng.randrange(1, 6))
+        for _ in range(rng.randrange(1 + len(a) // 3)):
+            k = rng.randrange(len(a))
+            a[k : k + 1] = rng.choice([[], [a[k], "g"], ["a"], ["h"]])
+        rows.append((q, "".join(a) or "x"))
+
+    def edits(x, y):
+        row = list(range(len(y) + 1))
+        for i, c in enumerate(x, 1):
+            last, row[0] = row[0], i
+            for j, d in enumerate(y, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (c != d))
+        return row[-1]
+
+    want = [any(edits(q * t, a) <= -(-len(q) * t * 22 // 100) for t in range(1, 40) if len(q) * t < 3 * len(a) + 9) for q, a in rows]
+    df = spark.createDataFrame([(i, q, a) for i, (q, a) in enumerate(rows)], "i int, q string, a string")
+    got = {r["i"]: "copied_question" in r["defects"] for r in with_defects(df).collect()}
+    assert 30 < sum(want) < 290 and [got[i] for i in range(len(rows))] == want
