@@ -102,7 +102,7 @@ def split_masked(masked: Column, char_class: str | Column) -> Column:
 def infer_delimiters(df: DataFrame, value: str, source: str | None = None, rules: PackedFieldRules = PackedFieldRules()) -> DataFrame:
     """One row per source: source, accepted (array of candidate names), char_class. Sources without packed values have an empty class."""
     key = F.col(source) if source else F.lit("all")
-    packed = F.col("_value").rlike(f"[{''.join(rules.candidates.values())} 以]")
+    packed = F.col("_value").rlike(f"[{''.join(rules.candidates.values())} 以①-⑳]|[(（][0-9]+[)）]")  # what _mask() makes a delimiter of, too
     distinct = df.select(key.alias("_source"), F.col(value).alias("_value")).where(packed).groupBy("_source", "_value").agg(F.count("*").alias("_w"))
     masked = distinct.select("_source", "_w", _mask(F.col("_value")).alias("_m"))
     whole = lambda x: ~x.rlike(r"^[,，、;；/／|｜]")  # noqa: E731  another delimiter right behind this one: this one ends a name

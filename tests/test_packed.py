@@ -89,3 +89,11 @@ def test_whole_table_agrees_with_a_plain_scan(spark, data):
 def test_values_alone(spark, value):
     out = split_packed(spark.createDataFrame([(value,)], "v string"), "v").collect()
     assert [r["item_value"] for r in out] == ([value] if value == "追问" else [])
+
+
+def test_numbering_without_any_other_delimiter(spark):
+    rows = [("a", "①追问②拆解问题"), ("a", "①提示②引导推理"), ("b", "(1)追问(2)提示"), ("b", "（1）拆解（2）举例")]
+    df = spark.createDataFrame(rows, "src string, v string")
+    assert {r["source"]: list(r["accepted"]) for r in infer_delimiters(df, "v", "src").collect()} == {"a": ["numbering"], "b": ["numbering"]}
+    out = split_packed(df, "v", "src").where("src = 'a'").collect()
+    assert {r["item_value"] for r in out} == {"追问", "拆解问题", "提示", "引导推理"}
