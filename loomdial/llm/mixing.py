@@ -42,13 +42,20 @@ def token_count(text: Column, tokenizer: str = TOKENIZER) -> Column:
     return count(text)
 
 
+def _poisson(rate: float, cap: int) -> list[float]:
+    """Probabilities of 0..cap-1; in logarithms, so that large rates do not vanish."""
+    if rate <= 0:
+        return [1.0] + [0.0] * (cap - 1) if cap else []
+    log = math.log(rate)
+    return [math.exp(k * log - rate - math.lgamma(k + 1)) for k in range(cap)]
+
+
 def capped_mean(rate: float, cap: int) -> float:
     """Mean of min(Poisson(rate), cap)."""
-    p, left, mean = math.exp(-rate), 1.0, 0.0
-    for k in range(cap):
+    left, mean = 1.0, 0.0
+    for p in _poisson(rate, cap):
         left -= p
         mean += max(left, 0.0)
-        p *= rate / (k + 1)
     return mean
 
 
@@ -57,14 +64,17 @@ def poisson_steps(mean: float, cap: int) -> list[float]:
     if mean >= cap:
         return [0.0] * cap
     low, high = 0.0, 700.0
+    while capped_mean(high, cap) < mean and high < 1e9:
+        high *= 2
     for _ in range(200):
         mid = (low + high) / 2
+        if mid in (low, high):
+            break
         low, high = (mid, high) if capped_mean(mid, cap) < mean else (low, mid)
-    p, total, steps = math.exp(-high), 0.0, []
-    for k in range(cap):
+    total, steps = 0.0, []
+    for p in _poisson(high, cap):
         total += p
         steps.append(min(total, 1.0))
-        p *= high / (k + 1)
     return steps
 
 

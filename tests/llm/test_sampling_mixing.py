@@ -81,3 +81,9 @@ def test_tokens_of_odd_texts(spark):
     got = {r["doc_id"]: r["n_tokens"] for r in Mixture(docs, weights).sized.collect()}
     assert got[1] == got[2] == 0 and got[3] > 0 and got[4] >= 100_000
     assert Mixture(docs.limit(0), weights).report().first()["mixed_tokens"] == 0
+
+
+@pytest.mark.parametrize(("mean", "cap"), [(0.5, 4), (650.0, 2000), (900.0, 1000), (1500.0, 4000)])
+def test_steps_reach_means_of_any_size(mean, cap):
+    steps = poisson_steps(mean, cap)
+    assert sum(1 - s for s in steps) == pytest.approx(mean, rel=1e-6)
