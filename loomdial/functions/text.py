@@ -16,6 +16,8 @@ TRADITIONAL = "優識學習導問設語層點類憶應創價評誤錯檢測總
 SIMPLIFIED = "优识学习导问设语层点类忆应创价评误错检测总结发迁励开观动时长师题说课讲读写话对错达难阶无复馈确认记录进论证据断联系统义现实验标准过这个们来为与后里还会吗让从将当经变关系图书馆体号计备务启维"
 
 BLANK = r"[\s  ᠎ -‏    ⁠　﻿]"
+#: The same characters one by one.
+_BLANKS = "\t\n\x0b\x0c\r \xa0\u1680\u180e" + "".join(map(chr, range(0x2000, 0x2010))) + "\u2028\u2029\u202f\u205f\u2060\u3000\ufeff"
 
 
 def half_width(c: Column) -> Column:
@@ -27,8 +29,8 @@ def simplified(c: Column) -> Column:
 
 
 def strip(c: Column) -> Column:
-    """Trim every kind of Unicode blank, zero-width ones too."""
-    return F.regexp_replace(c, f"^{BLANK}+|{BLANK}+$", "")
+    """Trim every kind of Unicode blank, zero-width ones too; linear in the text, whatever blanks stand within it."""
+    return F.btrim(c, F.lit(_BLANKS))
 
 
 def id_key(c: Column) -> Column:

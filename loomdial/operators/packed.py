@@ -6,12 +6,14 @@ over the values infers the delimiters (its result is one row per source), a proj
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomdial.functions.text import HAN, strip
+from loomdial.functions.text import HAN, id_key, strip
+from loomdial.session import cut
 
 # Candidate delimiters, by name, as the inside of a regular-expression character class.
 CANDIDATES = {
@@ -35,7 +37,8 @@ CANDIDATES = {
     "tilde": "~～",
 }
 
-_QUOTED = r'"(?:[^"]|"")*"|“[^”]*”|(?<=^|[\[,，;；\s])\'[^\']*\'(?=$|[\],，;；\s])'
+# a doubled quotation mark within quotes ends one quoted part and begins the next
+_QUOTED = r'"[^"]*+"|“[^”]*”|(?<=^|[\[,，;；\s])\'[^\']*\'(?=$|[\],，;；\s])'
 _BRACKETED = r"（[^（）]*）|\([^()]*\)|【[^【】]*】"
 _NUMBER = r"(?:[0-9]+[.、)）]|[(（][0-9]+[)）]|[①-⑳])"
 
@@ -56,8 +59,11 @@ def _unmask(c: Column) -> Column:
 
 
 def _unit_pattern(char_class: str) -> str:
-    """A run of quoted parts, bracketed parts and other characters that are no delimiter."""
-    return rf"(?:{_QUOTED}|{_BRACKETED}|[^{char_class}])+"
+    """A run of quoted parts, bracketed parts and other characters that are no delimiter.
+
+    A run ends at a delimiter anyway, so it is matched possessively: nothing is tried again, and the stack does not grow with the value.
+    """
+    return rf"(?:{_QUOTED}|{_BRACKETED}|[^{char_class}])++"
 
 
 def _clean_pieces(pieces: Column) -> Column:
@@ -83,13 +89,15 @@ def _is_value(piece: Column) -> Column:
 class PackedFieldRules:
     """How delimiters are inferred.
 
-    A candidate is accepted for a source if its score, the share of splits whose pieces are all of one type
-    (Han or Latin writing, two characters or more) times the consistency of the piece count
-    (mean / (mean + deviation)), reaches min_score, and it splits at least min_support values.
+    A candidate's score in a source is the share of splits whose pieces are all of one type (Han or Latin writing, two
+    characters or more) times the consistency of the piece count (mean / (mean + deviation)). It is accepted at min_score,
+    if it splits at least min_support values. What all sources show counts as much as prior splits of the source's own,
+    so that a source with few values is judged by all of them and one with many by itself.
     """
 
-    min_score: float = 0.4
-    min_support: int = 1
+    min_score: float = 0.5
+    min_support: float = 2
+    prior: float = 5
     candidates: dict[str, str] = field(default_factory=lambda: dict(CANDIDATES))
 
 
@@ -99,8 +107,8 @@ def split_masked(masked: Column, char_class: str | Column) -> Column:
     return _clean_pieces(F.regexp_extract_all(masked, pattern, F.lit(0)))
 
 
-def infer_delimiters(df: DataFrame, value: str, source: str | None = None, rules: PackedFieldRules = PackedFieldRules()) -> DataFrame:
-    """One row per source: source, accepted (array of candidate names), char_class. Sources without packed values have an empty class."""
+def delimiter_statistics(df: DataFrame, value: str, source: str | None = None, rules: PackedFieldRules = PackedFieldRules()) -> DataFrame:
+    """One row per source with packed values: for every candidate the values it splits (_n), those regularly (_regular), the sum (_sum) and sum of squares (_square) of their pieces."""
     key = F.col(source) if source else F.lit("all")
     packed = F.col("_value").rlike(f"[{''.join(rules.candidates.values())} 以①-⑳]|[(（][0-9]+[)）]")  # what _mask() makes a delimiter of, too
     distinct = df.select(key.alias("_source"), F.col(value).alias("_value")).where(packed).groupBy("_source", "_value").agg(F.count("*").alias("_w"))
@@ -111,86 +119,101 @@ def infer_delimiters(df: DataFrame, value: str, source: str | None = None, rules
     kind = lambda x: (
         F.when(x == "", "e")
         .when(~whole(x), "x")
-        .when(x.rlike("[A-Za-z]"), F.when(x.rlike(rf"^[^{HAN}]*[A-Za-z][^{HAN}]*[A-Za-z][^{HAN}]*$"), "l").otherwise("x"))
+        .when(x.rlike("[A-Za-z]"), F.when(~x.rlike(f"[{HAN}]") & x.rlike("[A-Za-z].*[A-Za-z]"), "l").otherwise("x"))
         .otherwise(F.when(x.rlike(rf"^[^{HAN}]?[{HAN}]?$"), "x").otherwise("h"))
     )
     for name, chars in rules.candidates.items():
         found = F.filter(F.transform(F.regexp_extract_all("_m", F.lit(_unit_pattern(chars)), F.lit(0)), strip), lambda x: x != "")
         bare = F.transform(found, lambda x: F.regexp_replace(x, rf"{_QUOTED}|[（(].*|^{_NUMBER}", ""))
         kinds[f"{name}_kinds"] = F.when(F.col("_m").rlike(f"[{chars}]"), F.array_join(F.transform(bare, kind), ""))
-        n, w = F.col(f"{name}_count"), F.col("_w")
-        checks[f"{name}_count"] = F.when(F.length(f"{name}_kinds") >= 2, F.length(f"{name}_kinds"))
-        checks[f"{name}_ok"] = F.when(F.length(f"{name}_kinds") >= 2, F.col(f"{name}_kinds").rlike("^(?:[he]+|[le]+)$"))
-        aggs += [
-            F.coalesce(F.sum(F.when(n.isNotNull(), w)), F.lit(0)).alias(f"{name}_n"),
-            F.coalesce(F.sum(F.when(F.col(f"{name}_ok"), w)), F.lit(0)).alias(f"{name}_regular"),
-            F.sum(n * w).alias(f"{name}_sum"),
-            F.sum(n * n * w).alias(f"{name}_square"),
-        ]
+        checks[f"{name}_count"] = F.expr(f"if(length({name}_kinds) >= 2, length({name}_kinds), null)")
+        checks[f"{name}_ok"] = F.expr(f"length({name}_kinds) >= 2 and {name}_kinds rlike '^([he]+|[le]+)$'")
+        n = f"{name}_count"
+        aggs += [F.expr(x) for x in (
+            f"coalesce(sum(if({n} is not null, _w, 0)), 0) as {name}_n", f"coalesce(sum(if({name}_ok, _w, 0)), 0) as {name}_regular",
+            f"coalesce(sum({n} * _w), 0) as {name}_sum", f"coalesce(sum(double({n}) * {n} * _w), 0d) as {name}_square",
+        )]
     masked = masked.withColumns(kinds).withColumns(checks).drop(*kinds, "_m")
-    stats = masked.groupBy("_source").agg(*aggs)
-    for name in rules.candidates:
-        mean = F.try_divide(F.col(f"{name}_sum"), F.col(f"{name}_n"))
-        deviation = F.sqrt(F.greatest(F.lit(0.0), F.try_divide(F.col(f"{name}_square"), F.col(f"{name}_n")) - mean * mean))
-        stats = stats.withColumns({f"{name}_mean": mean, f"{name}_dev": deviation})
-    accepted = F.array_compact(
-        F.array(
-            *[
-                F.when(
-                    (F.col(f"{name}_n") >= rules.min_support)
-                    & (F.try_divide(F.col(f"{name}_regular") * F.col(f"{name}_mean"), F.col(f"{name}_n") * (F.col(f"{name}_mean") + F.col(f"{name}_dev"))) >= rules.min_score),
-                    F.lit(name),
-                )
-                for name in rules.candidates
-            ]
-        )
-    )
+    return masked.groupBy("_source").agg(*aggs)
+
+
+def _score(name: str, pooled: dict, rules: PackedFieldRules) -> str:
+    """SQL of a candidate's score in each source, with the pooled statistics as prior splits; null where nothing is split."""
+    share = rules.prior / pooled[f"{name}_n"]
+    n, regular, total, square = [f"({name}_{x} + {float(pooled[f'{name}_{x}']) * share!r}D)" for x in ("n", "regular", "sum", "square")]
+    return f"try_divide({regular} * {total}, {n} * ({total} + sqrt(greatest(0D, {square} * {n} - {total} * {total}))))"
+
+
+def _inferred(df: DataFrame, value: str, source: str | None, rules: PackedFieldRules) -> tuple[DataFrame, str]:
+    """infer_delimiters() and the class for a source that has no row in it: what all sources together show."""
+    stats = cut(delimiter_statistics(df, value, source, rules))
+    pooled = stats.agg(*[F.expr(f"coalesce(sum({c}), 0) as {c}") for c in stats.columns[1:]]).first().asDict()
+    names = [name for name in rules.candidates if pooled[f"{name}_n"] >= max(1, rules.min_support)]
+    good = [f"if({_score(name, pooled, rules)} >= {rules.min_score}, '{name}', null)" for name in names]
+    shown = [f"if({name}_n > 0, '{name}', null)" for name in names]
     classes = F.create_map(*[F.lit(x) for kv in rules.candidates.items() for x in kv])
-    return stats.select(F.col("_source").alias("source"), accepted.alias("accepted")).withColumn(
-        "char_class", F.array_join(F.transform("accepted", lambda x: classes[x]), "")
-    )
+    judged = stats.selectExpr("_source as source", f"array_compact(cast(array({', '.join(good)}) as array<string>)) as _good", f"array_compact(cast(array({', '.join(shown)}) as array<string>)) as _shown")
+    found = judged.select("source", F.array_intersect("_good", "_shown").alias("accepted"), F.array_join(F.transform("_good", lambda x: classes[x]), "").alias("char_class"))
+    usual = ""
+    for name in names:
+        n, total = pooled[f"{name}_n"], pooled[f"{name}_sum"]
+        deviation = math.sqrt(max(0.0, pooled[f"{name}_square"] * n - total * total))  # times n, as the sum is the mean times n
+        if pooled[f"{name}_regular"] * total / (n * (total + deviation)) >= rules.min_score:
+            usual += rules.candidates[name]
+    return found, usual
+
+
+def infer_delimiters(df: DataFrame, value: str, source: str | None = None, rules: PackedFieldRules = PackedFieldRules()) -> DataFrame:
+    """One row per source: source, accepted (the candidates that its own values show), char_class (what it is split at, those that only other sources show too).
+
+    A source whose values hold no candidate has no row.
+    """
+    return _inferred(df, value, source, rules)[0]
 
 
-#: A table of delimiters per source is sent to every task only up to this many sources; beyond it is joined by shuffle.
+#: A table of the sources that differ from the rest is sent to every task only up to this many; beyond it is joined by shuffle.
 MAX_BROADCAST_SOURCES = 20_000
+_NOTHING = "\\uE003"
 
 
 def split_packed(df: DataFrame, value: str, source: str | None = None, rules: PackedFieldRules = PackedFieldRules(), min_values: int = 1) -> DataFrame:
     """Add n_values and one row per value with pos (from 0) and item_value.
 
-    Separators within quotes or brackets belong to the value; the delimiters are those inferred for the source.
+    Separators within quotes or brackets belong to the value; the delimiters are those inferred for the row's source (a null
+    source is one of its own). Most sources accept the same delimiters, so only those that differ from the whole are joined.
     A null or blank value gives no row; a value with no delimiter one row at position 0; a column named pos,
     item_value or n_values in the input is replaced. min_values=2 keeps packed values only.
     """
     out = [c for c in df.columns if c not in ("pos", "item_value", "n_values")]
     df = df.select(*out)
-    found = infer_delimiters(df, value, source, rules)
-    if source is None:
-        row = found.first()  # one row at most
-        chars = (row and row["char_class"]) or "\\uE003"
-        plain = F.array(F.regexp_replace(strip(F.col(value)), r"^\[(.*)\]$", "$1"))
-        masked = df.withColumn("_m", _mask(F.col(value)))
-        with_pieces = masked.withColumn("_pieces", F.when(F.col("_m").rlike(f"[{chars}]"), split_masked(F.col("_m"), chars)).otherwise(_clean_pieces(plain))).drop("_m")
+    found, usual = _inferred(df, value, source, rules)
+    usual = usual or _NOTHING
+    plain = F.array(F.regexp_replace(strip(F.col(value)), r"^\[(.*)\]$", "$1"))
+    split = lambda chars: F.when(F.col("_m").rlike(f"[{chars}]"), split_masked(F.col("_m"), chars)).otherwise(_clean_pieces(plain))
+    masked = df.withColumn("_m", _mask(F.col(value)))
+    others = found.select(F.col("source").alias("_source"), F.when(F.col("char_class") == "", _NOTHING).otherwise(F.col("char_class")).alias("_class")).where(F.col("_class") != usual)
+    n_others = others.limit(MAX_BROADCAST_SOURCES + 1).count() if source else 0
+    if n_others:
+        masked = masked.join(F.broadcast(others) if n_others <= MAX_BROADCAST_SOURCES else others, F.col(source).eqNullSafe(F.col("_source")), "left")
+        own = F.concat(F.lit(_unit_pattern("\0").split("\0")[0]), F.col("_class"), F.lit(_unit_pattern("\0").split("\0")[1]))
+        pieces = F.when(F.col("_class").isNull(), split(usual)).otherwise(split_masked(F.col("_m"), own))
     else:
-        found = found.select(F.col("source").alias("_source"), F.concat(F.lit(_unit_pattern("\\uE003").rstrip(")+").rstrip("]")), F.col("char_class"), F.lit("])+")).alias("_pattern"))
-        small = found.limit(MAX_BROADCAST_SOURCES + 1).count() <= MAX_BROADCAST_SOURCES
-        joined = df.join(F.broadcast(found) if small else found, F.col(source).eqNullSafe(F.col("_source")), "left")
-        pattern = F.coalesce(F.col("_pattern"), F.lit(_unit_pattern("\\uE003")))
-        with_pieces = joined.withColumn("_pieces", split_masked(_mask(F.col(value)), pattern)).drop("_source", "_pattern")
+        pieces = split(usual)
     return (
-        with_pieces.withColumn("n_values", F.size("_pieces"))
+        masked.withColumn("_pieces", pieces)
+        .withColumn("n_values", F.size("_pieces"))
         .where(F.col("n_values") >= min_values)
         .select(*out, "n_values", F.posexplode("_pieces").alias("pos", "item_value"))
     )
 
 
 def strategy_values(sessions: DataFrame) -> DataFrame:
-    """session_no, ann_no, teaching_strategy of the non-blank strategies; a session delivered again counts once.
+    """session_no, ann_no, student, teaching_strategy of the non-blank strategies; a session delivered again counts once.
 
-    Only the narrow column is exchanged, not the annotations.
+    student, the key of student_id (null where blank), is the source of the values. Only the narrow columns are exchanged, not the annotations.
     """
     return (
-        sessions.select("session_no", F.posexplode(F.col("annotations.teaching_strategy")).alias("ann_no", "teaching_strategy"))
+        sessions.select("session_no", id_key(F.col("student_id")).alias("student"), F.posexplode(F.col("annotations.teaching_strategy")).alias("ann_no", "teaching_strategy"))
         .where(F.col("teaching_strategy").rlike(r"(?U)\S"))
         .dropDuplicates(["session_no", "ann_no", "teaching_strategy"])
     )

@@ -32,7 +32,7 @@ SCORES = [*metrics.METRICS, "total_score"]
 @query
 def p3_found(spark, d):
     values = strategy_values(_sessions(spark, d))
-    return split_packed(values, "teaching_strategy", min_values=2).select("session_no", "ann_no", "pos", "item_value")
+    return split_packed(values, "teaching_strategy", "student", min_values=2).select("session_no", "ann_no", "pos", "item_value")
 
 
 # --- metrics

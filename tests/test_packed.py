@@ -97,3 +97,26 @@ def test_numbering_without_any_other_delimiter(spark):
     assert {r["source"]: list(r["accepted"]) for r in infer_delimiters(df, "v", "src").collect()} == {"a": ["numbering"], "b": ["numbering"]}
     out = split_packed(df, "v", "src").where("src = 'a'").collect()
     assert {r["item_value"] for r in out} == {"追问", "拆解问题", "提示", "引导推理"}
+
+
+def test_values_of_a_hundred_thousand_characters(spark):
+    """Runs, quoted parts, blanks and Latin letters of any length: no stack that grows with the value, no time that grows with its square."""
+    n = 100_000
+    values = ["追" * n + "，" + "问" * n, '"' + "追，" * n + '"，提示', '"' + '追""' * n + '"；提示', "提示" + " " * n + "，追问", "a" * n + "追，提示", "（" * n + "，追问", "[" + "追" * n + "，提示]"]
+    rows = [(i, v) for i, v in enumerate([*values, *CORPUS])]
+    out = split_packed(spark.createDataFrame(rows, "id int, v string"), "v").where(f"id < {len(values)}").collect()
+    got = {}
+    for r in sorted(out, key=lambda r: (r["id"], r["pos"])):
+        got.setdefault(r["id"], []).append(r["item_value"])
+    assert got == {
+        0: ["追" * n, "问" * n], 1: ["追，" * n, "提示"], 2: ['追"' * n, "提示"], 3: ["提示", "追问"], 4: ["a" * n + "追", "提示"], 5: ["（" * n, "追问"], 6: ["追" * n, "提示"]
+    }
+
+
+def test_a_source_with_few_values_is_judged_by_all(spark):
+    rows = [("many", v) for v in CORPUS] + [("few", "追问｜提示"), (None, "追问，提示"), ("own", "红茶-绿茶")] + [("own", "红茶-白茶")] * 40 + [("none", "追问")]
+    out = split_packed(spark.createDataFrame(rows, "src string, v string"), "v", "src").collect()
+    got = {}
+    for r in out:
+        got.setdefault(r["src"], set()).add(r["item_value"])
+    assert got["few"] == got[None] == {"追问", "提示"} and got["own"] == {"红茶", "绿茶", "白茶"} and got["none"] == {"追问"}
