@@ -210,10 +210,11 @@ def split_packed(df: DataFrame, value: str, source: str | None = None, rules: Pa
 def strategy_values(sessions: DataFrame) -> DataFrame:
     """session_no, ann_no, student, teaching_strategy of the non-blank strategies; a session delivered again counts once.
 
-    student, the key of student_id (null where blank), is the source of the values. Only the narrow columns are exchanged, not the annotations.
+    student, the key of student_id (null where blank or where there is no such column), is the source of the values. Only the narrow columns are exchanged, not the annotations.
     """
+    student = id_key(F.col("student_id")) if "student_id" in sessions.columns else F.lit(None).cast("string")
     return (
-        sessions.select("session_no", id_key(F.col("student_id")).alias("student"), F.posexplode(F.col("annotations.teaching_strategy")).alias("ann_no", "teaching_strategy"))
+        sessions.select("session_no", student.alias("student"), F.posexplode(F.col("annotations.teaching_strategy")).alias("ann_no", "teaching_strategy"))
         .where(F.col("teaching_strategy").rlike(r"(?U)\S"))
         .dropDuplicates(["session_no", "ann_no", "teaching_strategy"])
     )
