@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomdial.functions.text import half_width
-from loomdial.session import cut
+from loomdial.session import checkpointed
 
 #: Most labelled documents that a model is fitted on (by hash of the id), partitions of the training, hashed features, width, rounds.
 SAMPLE, PARTS, FEATURES, WIDTH, ROUNDS = 24_000, 8, 1 << 16, 16, 10
@@ -150,9 +150,9 @@ class SubjectClassifier:
                 yield pd.DataFrame({"doc_id": batch["doc_id"], "features": [features(t).tobytes() for t in batch["text"]], "wanted": wanted})
 
         ready = rows.mapInPandas(featurise, "doc_id bigint, features binary, wanted binary")
-        ready = cut(ready.withColumn("held_out", F.pmod(F.xxhash64(F.lit(13), "doc_id"), F.lit(HELD_OUT)) == 0))
+        ready = checkpointed(ready.withColumn("held_out", F.pmod(F.xxhash64(F.lit(13), "doc_id"), F.lit(HELD_OUT)) == 0))
         parts = max(1, min(PARTS, ready.count() // PART_ROWS))  # few labels stay together, so that each pass sees enough of them
-        ready = cut(ready.repartition(parts, "doc_id")) if parts > 1 else cut(ready.coalesce(1))
+        ready = checkpointed(ready.repartition(parts, "doc_id")) if parts > 1 else checkpointed(ready.coalesce(1))
         self.threshold, self.model = 0.5, None
         if not self.subjects or ready.isEmpty():
             return
