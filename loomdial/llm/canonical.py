@@ -169,7 +169,7 @@ def typed_values(sessions: DataFrame, vocabulary: DataFrame) -> DataFrame:
     for f in FIELDS:
         exact = exact | ((F.col("field_name") == f) & is_label(F.col("value"), f))
     plain = plain.where(~exact).dropDuplicates(["session_no", "ann_no", "field_name", "value"])
-    strategies = split_packed(strategy_values(sessions), "teaching_strategy").select(
+    strategies = split_packed(strategy_values(sessions), "teaching_strategy", "student").select(
         "session_no", "ann_no", F.lit("teaching_strategy").alias("field_name"), "pos", F.col("item_value").alias("value")
     )
     values = plain.unionByName(strategies.where(~is_label(F.col("value"), "teaching_strategy")))

@@ -43,14 +43,17 @@ REFUSALS_EN = (
     r"no answer can be given|(?:outside|beyond)(?: of)? what i(?: am|[’']m) (?:allowed|permitted|able)|not (?:something|a topic) i can|am not (?:allowed|permitted|qualified) to",
     r"designed not to|not in a position to",
 )
-REFUSALS_OTHER = (
+REFUSALS_LATIN = (
     r"no puedo (?:ayudar|responder|hablar|contestar)|lo siento, (?:pero )?no",
     r"je ne (?:peux|suis) pas (?:répondre|aider|en mesure|autorisé)|je refuse",
     r"(?:kann|darf) ich (?:leider )?nicht|ich kann (?:dir |ihnen )?(?:dabei |das )?nicht (?:helfen|beantworten)",
+)
+REFUSALS_SCRIPTS = (
     r"お答え(?:できません|しかねます)|対応できません|回答できません",
     r"(?:답변|도와)[^.]{0,10}(?:없습니다|어렵습니다|수 없)",
     r"не могу (?:ответить|помочь|обсуждать)",
 )
+REFUSALS_OTHER = REFUSALS_LATIN + REFUSALS_SCRIPTS
 
 # Frequent words by which Latin-script languages are told apart.
 WORDS_EN = "the a an is are was of to you your what and in how would which does this it that one if who why with we i my let about from not at"
@@ -71,14 +74,10 @@ ASKS = {
 }
 
 
-# A text with none of these holds no refusal phrase (a cheap test before the expressions; every alternative of REFUSALS_* has to hold one). Those with 不
-# are only looked for behind a 不, the Latin ones only in texts with a space.
-LEXEMES = [*"无法 没法 办法 恕 无可奉告 爱莫能助 拒绝 超出 できません かねます 없습니다 어렵습니다 могу".split(), "수 없"]
-LEXEMES_NOT = "不便 我不 不予 不回答 选择不 不能谈 不了 做不到 不具备 不允许 成不 不在 不适合 不作答 不回应".split()
-LEXEMES_LATIN = [
-    x.replace("&", " ")
-    for x in "able&to what&i cant can't can’t cannot can&not wont won't won’t will&not could&not may&not decline refuse pass&on rule&out rules&out forbid prohibit guidelines no&answer allowed permitted something&i topic&i qualified designed&not position&to no&puedo lo&siento je&ne je&refuse kann&ich darf&ich ich&kann".split()
-]
+#: What every alternative of a list of phrases holds, whatever it is: tests that let the other texts pass by at less cost.
+NEEDS_ZH, NEEDS_LATIN, NEEDS_OTHER = "[无没不恕爱拒超]", "[a-z’'] [a-z]", "[\u3040-\u30FF\uAC00-\uD7A3\u0400-\u04FF]"
+#: What the alternatives of REFUSALS_ZH begin with.
+BEGINS_ZH = "[无没我恕不选这爱拒超帮做系设]"
 
 
 def _count(c: Column, chars: str) -> Column:
@@ -121,26 +120,28 @@ def _key(c: Column) -> Column:
     return F.when(c.rlike("[Ａ-Ｚａ-ｚ０-９]"), F.lower(half_width(bare))).otherwise(bare)
 
 
-def is_empty(a: Column) -> Column:
-    bare = F.regexp_replace(F.lower(half_width(a)), r"[^\p{L}\p{N}]+", "")
-    return a.isNull() | ~a.rlike(r"[\p{L}\p{N}]") | ((F.length(a) < 40) & bare.isin(*NO_ANSWER))
+def is_empty(a: Column, key: Column) -> Column:
+    """key: the _key() of the answer. Null, no letter or digit, or a word that stands for no answer."""
+    return a.isNull() | (key == "") | key.isin(*NO_ANSWER)
 
 
 def is_refusal(text: Column) -> Column:
     """text: the answer in lower case."""
-    among = lambda ws: reduce(lambda x, y: x | y, [text.contains(w) for w in ws])
-    hint = among(LEXEMES) | (text.contains("不") & among(LEXEMES_NOT)) | (text.contains(" ") & among(LEXEMES_LATIN))
-    return hint & text.rlike("|".join(REFUSALS_ZH + REFUSALS_EN + REFUSALS_OTHER))
+    return (
+        (text.rlike(NEEDS_ZH) & text.rlike(f"(?={BEGINS_ZH})(?:{'|'.join(REFUSALS_ZH)})"))
+        | (text.rlike(NEEDS_LATIN) & text.rlike("|".join(REFUSALS_EN + REFUSALS_LATIN)))
+        | (text.rlike(NEEDS_OTHER) & text.rlike("|".join(REFUSALS_SCRIPTS)))
+    )
 
 
 def _is_copy(df: DataFrame, q: str, a: str) -> DataFrame:
-    """Add _copy: the answer is the question, once or several times, behind a short lead-in or not, up to a fifth of its characters changed.
+    """Add _copy: the answer is the question, once or several times, behind a lead-in or not, up to a fifth of its characters changed.
 
-    The rule is the same for texts of any length; a question has four letters or digits at least.
+    _kq and _ka are the keys of the two. A lead-in is the beginning up to a colon, within one sentence. The rule is the same for texts of any
+    length; a question has four letters or digits at least.
     """
-    df = df.withColumns({"_kq": _key(F.col(q)), "_ka": _key(F.col(a))})
-    lead = F.length(_key(F.regexp_extract(F.col(a), r"^[^：:]{1,24}[：:]", 0)))
-    df = df.withColumns({"_n": F.length("_kq"), "_m": F.length("_ka"), "_lead": F.when(F.col(a).rlike("^[^：:]{1,24}[：:]"), lead).otherwise(0)})
+    lead = F.regexp_extract(F.col(a), r"^[^：:。！？!?；;\n]++[：:]", 0)
+    df = df.withColumns({"_n": F.length("_kq"), "_m": F.length("_ka"), "_lead": F.when(F.col(a).rlike("[：:]"), F.length(_key(lead))).otherwise(0)})
     n = F.col("_n")
 
     def near(x: Column, length: Column, times: Column) -> Column:
@@ -162,15 +163,21 @@ def _is_copy(df: DataFrame, q: str, a: str) -> DataFrame:
 
     behind = F.when(F.col("_lead") > 0, copied(F.expr("substring(_ka, _lead + 1)"), F.col("_m") - F.col("_lead"))).otherwise(False)
     copy = F.when(n >= 4, copied(F.col("_ka"), F.col("_m")) | behind).otherwise(False)
-    return df.withColumn("_copy", F.coalesce(copy, F.lit(False))).drop("_kq", "_ka", "_n", "_m", "_lead")
+    return df.withColumn("_copy", F.coalesce(copy, F.lit(False))).drop("_n", "_m", "_lead")
+
+
+_MARKS, _CLOSERS, _PARTICLES = "。！？!?；;～~", "”’\"'）)》」】]*", "吗呢吧啊呀嘛哦"
 
 
 def _end(a: Column) -> Column:
-    """The last characters of an answer, without an end marker in brackets, a closing tag and a gloss behind the sentence end."""
-    blanks = F.lit(" \t\n\r\x0b\x0c\xa0\u2028\u2029\u3000\u200b\u200c\u200d\u2060\ufeff")
-    end = F.substring(F.rtrim(a, blanks), -80, 80)  # all marks that the rules look at stand in the last characters
-    closed = F.regexp_replace(end, r"\s*(?:[\[【](?:结束|END|end)[\]】]|</?[a-z]+ ?/?>)$|(?<=[。！？!?.])\s*[（(][^（()）]*[）)]$", "")
-    return F.when(F.right(end, F.lit(1)).isin("]", "】", ">", ")", "）"), F.rtrim(closed, blanks)).otherwise(end)
+    """The answer without blanks, an end marker in brackets, a closing tag or a gloss behind the sentence end."""
+    bare = lambda x: F.rtrim(x, F.lit(" \t\n\r\x0b\x0c\xa0\u2028\u2029\u3000\u200b\u200c\u200d\u2060\ufeff"))
+    end = bare(a)
+    unmarked = bare(F.regexp_replace(end, r"(?:[\[【](?:结束|END|end)[\]】]|</?[a-z]+ ?/?>)$", ""))
+    without_gloss = bare(F.regexp_replace(end, r"[（(][^（()）]*+[）)]$", ""))
+    last = F.right(end, F.lit(1))
+    closed = F.when(last.isin(")", "）"), F.when(F.right(without_gloss, F.lit(1)).isin(*"。！？!?."), without_gloss).otherwise(end)).otherwise(unmarked)
+    return F.when(last.isin("]", "】", ">", ")", "）"), closed).otherwise(end)
 
 
 def is_truncated(a: Column, t: Column) -> Column:
@@ -181,7 +188,8 @@ def is_truncated(a: Column, t: Column) -> Column:
     n = lambda p: F.length(F.replace(a, F.lit(p), F.lit("")))  # noqa: E731  the more of p, the shorter
     marked = reduce(lambda x, y: x | y, [a.contains(m) for m in "（(“《「"])
     open_mark = F.when(marked, (n("（") + n("(") < n("）") + n(")")) | (n("“") < n("”")) | (n("《") < n("》")) | (n("「") < n("」"))).otherwise(False)
-    complete = F.substring(t, -10, 10).rlike(r"[。！？!?；;～~](?:[”’\"'）)》」】\]*]*)$|[^.…]\.(?:[”’\"'）)》」】\]*]*)$|[吗呢吧啊呀嘛哦]$|\d\.$")
+    ends = F.right(F.rtrim(t, F.lit(_CLOSERS)), F.lit(2))
+    complete = F.right(ends, F.lit(1)).isin(*_MARKS) | ends.rlike(r"^[^.…]\.$") | F.right(t, F.lit(1)).isin(*_PARTICLES)
     return (t != "") & (open_mark | ~complete)
 
 
@@ -190,7 +198,8 @@ def with_defects(df: DataFrame, question: str = "q", answer: str = "a") -> DataF
 
     A null question is compared with nothing: only emptiness, refusal and truncation are found. An empty answer shows nothing else.
     """
-    df = df.withColumns({"_empty": is_empty(F.col(answer)), "_low": F.lower(F.col(answer)), "_end": _end(F.col(answer))})
+    df = df.withColumns({"_kq": _key(F.col(question)), "_ka": _key(F.col(answer)), "_low": F.lower(F.col(answer)), "_end": _end(F.col(answer))})
+    df = df.withColumn("_empty", is_empty(F.col(answer), F.col("_ka")))
     df = _is_copy(language_columns(language_columns(df, question, "_lq"), answer, "_la"), question, answer)
     q = F.col(question)
     asked = reduce(lambda x, y: x | y, [(F.col("_la") == code) & q.rlike(p) for code, p in ASKS.items()])
@@ -203,7 +212,7 @@ def with_defects(df: DataFrame, question: str = "q", answer: str = "a") -> DataF
         F.when(full & F.coalesce(other, F.lit(False)), "other_language"),
         F.when(full & is_truncated(F.col(answer), F.col("_end")), "truncated"),
     ]
-    return df.withColumn("defects", F.array_compact(F.array(*found))).drop("_empty", "_low", "_end", "_lq", "_la", "_copy")
+    return df.withColumn("defects", F.array_compact(F.array(*found))).drop("_empty", "_low", "_end", "_lq", "_la", "_copy", "_kq", "_ka")
 
 
 def last_question(prompt: Column) -> Column:

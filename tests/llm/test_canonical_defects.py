@@ -174,3 +174,19 @@ def test_copies_against_every_number_of_repetitions(spark):
     df = spark.createDataFrame([(i, q, a) for i, (q, a) in enumerate(rows)], "i int, q string, a string")
     got = {r["i"]: "copied_question" in r["defects"] for r in with_defects(df).collect()}
     assert 30 < sum(want) < 290 and [got[i] for i in range(len(rows))] == want
+
+
+def test_rules_hold_at_any_length(spark):
+    """No rule looks at a part of a text only: phrases anywhere, long glosses, many closing marks, long lead-ins, refusals without any common word."""
+    q = "为什么月食不是每个月都发生，而要等到太阳、地球和月亮排成一条直线的时候才能看到呢"
+    filler = "想一想这里的关系，" * 9000
+    rows = [
+        (Q_EN, "I may not discuss this topic with you.", "refusal"), (Q_EN, "Sorry, I cant help with that.", "refusal"), ("왜 그럴까요?", "죄송하지만 답변할 수 없어요.", "refusal"),
+        (q, filler + "不过这个问题我不便讨论。" + filler + "好。", "refusal"), (q, filler + "你觉得是哪一个？（" + "原文见课本" * 40 + "）", None), (q, filler + "你觉得是哪一个？" + "”" * 60, None),
+        (q, filler + "你觉得是哪一个？（" + "原文见课本" * 40, "truncated"), (q, filler, "truncated"), (q, filler + "你说呢？" + " " * 50000, None),
+        (q, "刚才你提出来的那个我觉得大家都应该再仔细想一想的问题是：" + "".join(q[i] if i % 8 else "变" for i in range(len(q))) * 20 + "。", "copied_question"),
+    ]
+    df = spark.createDataFrame([(i, a, b) for i, (a, b, _) in enumerate(rows)], "i int, q string, a string")
+    got = {r["i"]: r["defects"] for r in with_defects(df).collect()}
+    for i, (_, _, want) in enumerate(rows):
+        assert (want in got[i]) if want else got[i] == [], (i, got[i])
