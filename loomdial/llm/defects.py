@@ -95,23 +95,27 @@ def language_columns(df: DataFrame, col: str, to: str) -> DataFrame:
     df = df.withColumns(
         {
             "_han": F.length(c) - F.length(rest),
-            "_latin": _count(rest, "A-Za-zÀ-ɏ"),
-            "_strange": rest.rlike(r"[^\x00-ɏ\u2000-\u206F\u3000-\u303F\u4E00-\u9FA5\uFF00-\uFFEF]"),
+            "_ascii": F.octet_length(rest) == F.length(rest),
+            "_strange": (F.octet_length(rest) > F.length(rest)) & rest.rlike(r"[^\x00-ɏ\u2000-\u206F\u3000-\u303F\u4E00-\u9FA5\uFF00-\uFFEF]"),
         }
     )
-    words = F.split(F.lower(c), r"[^\p{L}]+")
-    among = lambda ws: F.size(F.array_intersect(words, F.array(*[F.lit(w) for w in dict.fromkeys(ws.split())])))
-    foreign = among(WORDS_FOREIGN) + 2 * _count(c, "áéíóúñ¿¡çàèùâêîôûäöüßœÁÉÍÓÚÑÇÀÈÄÖÜ")
+    # without Han and strange letters it only counts whether there are three Latin ones
+    three = F.when(rest.rlike("[A-Za-zÀ-ɏ][^A-Za-zÀ-ɏ]*+[A-Za-zÀ-ɏ][^A-Za-zÀ-ɏ]*+[A-Za-zÀ-ɏ]"), 3).otherwise(0)
+    df = df.withColumn("_latin", F.when((F.col("_han") == 0) & ~F.col("_strange"), three).otherwise(_count(rest, "A-Za-zÀ-ɏ")))
+    mostly_han = (F.col("_han") > 0) & (F.col("_han") * 4 >= F.col("_latin"))
+    df = df.withColumn("_words", F.when(~mostly_han & (F.col("_latin") > 2), F.array_distinct(F.split(F.lower(c), r"[^\p{L}]+"))))
+    among = lambda ws: F.size(F.filter("_words", lambda w: w.isin(*dict.fromkeys(ws.split()))))
+    foreign = among(WORDS_FOREIGN) + F.when(F.col("_ascii"), 0).otherwise(2 * _count(c, "áéíóúñ¿¡çàèùâêîôûäöüßœÁÉÍÓÚÑÇÀÈÄÖÜ"))
     latin = F.when(foreign > among(WORDS_EN), "latin").otherwise("en")
     letters = F.col("_han") + F.col("_latin")
     kana, hangul, cyrillic = _count(c, "\u3040-\u30FF"), _count(c, "\uAC00-\uD7A3"), _count(c, "\u0400-\u04FF")
     strange = (
         F.when((kana > 0) & (kana * 8 >= letters), "ja").when((hangul > 0) & (hangul * 4 >= letters), "ko").when((cyrillic > 0) & (cyrillic * 2 >= letters), "ru")
     )
-    plain = F.when((F.col("_han") > 0) & (F.col("_han") * 4 >= F.col("_latin")), "zh").when(F.col("_latin") > 2, latin)
+    plain = F.when(mostly_han, "zh").when(F.col("_latin") > 2, latin)
     other = F.when(F.length(F.regexp_replace(c, r"[^\p{L}]+", "")) > 2, "other")
     found = F.when(F.col("_strange"), F.coalesce(strange, plain, other)).otherwise(plain)
-    return df.withColumn(to, found).drop("_rest", "_han", "_latin", "_strange")
+    return df.withColumn(to, found).drop("_rest", "_han", "_latin", "_strange", "_words", "_ascii")
 
 
 def _key(c: Column) -> Column:
@@ -141,7 +145,7 @@ def _is_copy(df: DataFrame, q: str, a: str) -> DataFrame:
     length; a question has four letters or digits at least.
     """
     lead = F.regexp_extract(F.col(a), r"^[^：:。！？!?；;\n]++[：:]", 0)
-    df = df.withColumns({"_n": F.length("_kq"), "_m": F.length("_ka"), "_lead": F.when(F.col(a).rlike("[：:]"), F.length(_key(lead))).otherwise(0)})
+    df = df.withColumns({"_n": F.length("_kq"), "_m": F.length("_ka"), "_lead": F.when(F.col(a).contains("：") | F.col(a).contains(":"), F.length(_key(lead))).otherwise(0)})
     n = F.col("_n")
 
     def near(x: Column, length: Column, times: Column) -> Column:
@@ -193,14 +197,21 @@ def is_truncated(a: Column, t: Column) -> Column:
     return (t != "") & (open_mark | ~complete)
 
 
+def with_question(df: DataFrame, question: str = "q") -> DataFrame:
+    """Add what the rules need to know of the question: _kq, its key, and _lq, its language."""
+    return language_columns(df.withColumn("_kq", _key(F.col(question))), question, "_lq")
+
+
 def with_defects(df: DataFrame, question: str = "q", answer: str = "a") -> DataFrame:
     """Add defects: array<string> of every defect that the answer shows, in the order of the rules.
 
     A null question is compared with nothing: only emptiness, refusal and truncation are found. An empty answer shows nothing else.
     """
-    df = df.withColumns({"_kq": _key(F.col(question)), "_ka": _key(F.col(answer)), "_low": F.lower(F.col(answer)), "_end": _end(F.col(answer))})
+    if "_kq" not in df.columns:
+        df = with_question(df, question)
+    df = df.withColumns({"_ka": _key(F.col(answer)), "_low": F.lower(F.col(answer)), "_end": _end(F.col(answer))})
     df = df.withColumn("_empty", is_empty(F.col(answer), F.col("_ka")))
-    df = _is_copy(language_columns(language_columns(df, question, "_lq"), answer, "_la"), question, answer)
+    df = _is_copy(language_columns(df, answer, "_la"), question, answer)
     q = F.col(question)
     asked = reduce(lambda x, y: x | y, [(F.col("_la") == code) & q.rlike(p) for code, p in ASKS.items()])
     other = F.when(F.col("_lq") != F.col("_la"), ~asked).otherwise(False)
@@ -224,9 +235,11 @@ def last_question(prompt: Column) -> Column:
 def answer_defects(flat_rows: DataFrame, dpo_pairs: DataFrame) -> DataFrame:
     """table_name, row_no, field_name, defects (all, ordered) of every defective answer; a row delivered again counts once."""
     f = flat_rows.select(F.lit("flat_rows").alias("table_name"), "row_no", F.lit("completion").alias("field_name"), last_question(F.col("prompt")).alias("q"), F.col("completion").alias("a"))
-    d = dpo_pairs.select(
-        F.lit("dpo_pairs").alias("table_name"), F.col("pair_no").alias("row_no"), last_question(F.col("prompt")).alias("q"),
-        F.explode(F.array(*[F.struct(F.lit(c).alias("field_name"), F.col(c).alias("a")) for c in ("chosen", "rejected")])).alias("x"),
-    ).select("table_name", "row_no", "x.field_name", "q", "x.a")
-    found = with_defects(f.unionByName(d)).select("table_name", "row_no", "field_name", "defects")
-    return found.where(F.size("defects") > 0).dropDuplicates(["table_name", "row_no", "field_name"])
+    # the question of a pair is looked at once, before its two answers are taken apart
+    d = with_question(dpo_pairs.select(F.col("pair_no").alias("row_no"), "chosen", "rejected", last_question(F.col("prompt")).alias("q")))
+    d = d.select(
+        F.lit("dpo_pairs").alias("table_name"), "row_no", "q", "_kq", "_lq", F.explode(F.array(*[F.struct(F.lit(c).alias("field_name"), F.col(c).alias("a")) for c in ("chosen", "rejected")])).alias("x")
+    ).select("table_name", "row_no", "x.field_name", "q", "x.a", "_kq", "_lq")
+    found = with_defects(with_question(f).unionByName(d)).select("table_name", "row_no", "field_name", "defects", F.monotonically_increasing_id().alias("_place"))
+    # _place keeps the filter above the projection; pushed down, it would have every rule evaluated twice
+    return found.where("size(defects) > 0 and _place >= 0").drop("_place").dropDuplicates(["table_name", "row_no", "field_name"])
