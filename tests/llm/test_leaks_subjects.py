@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from loomdial.llm.leaks import Items, clean_documents, leaks, quoted, suffix_matches, windows
+from loomdial.llm.leaks import Items, SuffixArray, clean_documents, leaks, quoted, seed_length, suffix_matches, windows
 from loomdial.llm.subjects import SubjectClassifier, composition, features
 
 LETTERS = [chr(0x4E00 + i) for i in range(400)]
@@ -13,12 +13,29 @@ def text(rng, n):
     return "".join(rng.choice(LETTERS) for _ in range(n))
 
 
-def test_suffix_matches_against_find(rng):
-    docs = [text(rng, 60) for _ in range(5)] + ["", "短"]
-    items = [docs[0][10:40], docs[1][5:20] + text(rng, 10), text(rng, 20), docs[0][12:25]]
-    got = set(zip(*(x.tolist() for x in suffix_matches(docs, Items.of(list(enumerate(items)))))))
-    want = {(d, p, i, j) for i, t in enumerate(items) for j in range(len(t) - 7) for d, s in enumerate(docs) for p in range(len(s) - 7) if s[p : p + 8] == t[j : j + 8]}
-    assert got == want
+@pytest.mark.parametrize("most", [4_000_000, 7])
+def test_suffix_matches_against_find(rng, monkeypatch, most):
+    """Every place of every seed, for items of all lengths, whole or in small parts."""
+    monkeypatch.setattr("loomdial.llm.leaks.MATCHES", most)
+    docs = [text(rng, 60) for _ in range(5)] + ["", "短", "哈" * 90, "ab" * 40]
+    items = [docs[0][10:40], docs[1][5:20] + text(rng, 10), text(rng, 20), docs[0][12:25], docs[2][:9], docs[3] * 2, "哈" * 40, "ab" * 9, "短短短短"]
+    parts = list(suffix_matches(SuffixArray(docs), Items.of(list(enumerate(items)))))
+    found = [m for part in parts for m in zip(*(x.tolist() for x in part))]
+    n = [seed_length(len(t), 0.5) for t in items]
+    want = {(d, p, i, j) for i, t in enumerate(items[:-1]) for j in range(len(t) - n[i] + 1) for d, s in enumerate(docs) for p in range(len(s) - n[i] + 1) if s[p : p + n[i]] == t[j : j + n[i]]}
+    assert set(found) == want and len(found) == len(want)
+    pairs = [{m[::2] for m in zip(*(x.tolist() for x in part))} for part in parts]
+    assert sum(map(len, pairs)) == len(set().union(*pairs))  # all matches of a document and an item are in one part
+
+
+def test_items_of_every_script_and_short_ones(spark, rng):
+    items = [
+        (1, "つきのみちかけはたいようとちきゅうのいちかんけいでおこります"), (2, "Луна обращается вокруг Земли примерно за двадцать семь суток и восемь часов"), (3, "달은 지구 둘레를 돌면서 모양이 날마다 조금씩 달라져 보입니다"),
+        (4, "चंद्रमा पृथ्वी के चारों ओर घूमता है और उसका आकार बदलता दिखता है"), (5, text(rng, 12)), (6, text(rng, 20)), (7, text(rng, 6)),
+    ]
+    docs = [(i, text(rng, 200) + "「" + t.upper() + "」" + text(rng, 100)) for i, t in items] + [(16, text(rng, 90) + items[5][1][4:16] + text(rng, 90)), (17, text(rng, 90) + items[6][1][:4])]
+    df, ev = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in leaks(df, ev).collect()} == {(i, i) for i in range(1, 8)} | {(16, 6)}
 
 
 def test_alignment():
