@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import math
+from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
@@ -15,8 +16,9 @@ from loomdial.session import cut
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: Sources are planned on the driver; the table of weights may have so many rows.
 MAX_SOURCES = 100_000
-#: Longer texts are tokenized in pieces of so many characters.
+#: Longer texts are tokenized in pieces of about so many characters, cut where no token can lie across.
 PIECE = 200_000
+_MARKS = "。！？，；：、.!?,;:"
 
 # Fixed value: the splitting pattern that belongs to the byte-level vocabularies.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -31,13 +33,24 @@ def _encoding(path: str):
     return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def pieces(text: str) -> Iterator[str]:
+    """The text in pieces that end with a mark before a letter: the splitting pattern never joins the two. Without such a place it stays whole."""
+    at = 0
+    while len(text) - at > PIECE:
+        end = next((i for i in range(at + PIECE, len(text)) if text[i - 1] in _MARKS and text[i].isalpha()), len(text))
+        yield text[at:end]
+        at = end
+    if at < len(text):
+        yield text[at:]
+
+
 def token_count(text: Column, tokenizer: str = TOKENIZER) -> Column:
     """Tokens of a text; 0 for null and empty ones."""
 
     @F.pandas_udf("bigint")
     def count(texts: pd.Series) -> pd.Series:
         encode = _encoding(tokenizer).encode_ordinary
-        return pd.Series([sum(len(encode(t[i : i + PIECE])) for i in range(0, len(t), PIECE)) if t else 0 for t in texts], dtype="int64")
+        return pd.Series([sum(len(encode(x)) for x in pieces(t)) if t else 0 for t in texts], dtype="int64")
 
     return count(text)
 
@@ -101,9 +114,9 @@ class Mixture:
             own, target = tokens.get(r[0], 0), r[1] * total
             short = own * r[2] * 1000 < target
             mean = float(r[2]) if short else (target / 1000 / own if own else 0.0)
-            plan.append((r[0], r[1], r[2], own, target / 1000, mean, bool(short), poisson_steps(mean, r[2])))
+            plan.append((r[0], r[1], r[2], own, target / 1000, mean, bool(short), total, poisson_steps(mean, r[2])))
         self.plan = spark.createDataFrame(
-            plan, "source string, weight_permille bigint, max_repeats bigint, source_tokens bigint, target_tokens double, mean_repeats double, short boolean, steps array<double>"
+            plan, "source string, weight_permille bigint, max_repeats bigint, source_tokens bigint, target_tokens double, mean_repeats double, short boolean, total_tokens bigint, steps array<double>"
         )
         u = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(id_col)), 11) * F.lit(2.0**-53)
         counted = self.sized.join(F.broadcast(self.plan.select("source", "steps")), "source").withColumn("copies", F.size(F.filter("steps", lambda s: u >= s)))
@@ -117,19 +130,21 @@ class Mixture:
         return out.repartitionByRange("mix_key").sortWithinPartitions("mix_key")
 
     def report(self) -> DataFrame:
-        """Each listed source with its target, the tokens in the mixture, the share of all tokens of the mixture and whether it falls short."""
-        got = self.copies.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("mixed_tokens"), F.max("copies").alias("most_copies"))
+        """Each listed source with its target, the tokens in the mixture, the share of all tokens of the mixture and whether it falls short: every document is in it as often as it may be, and yet the tokens are fewer than wanted."""
+        got = self.copies.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("mixed_tokens"), F.max("copies").alias("most_copies"), F.min("copies").alias("least_copies"))
         all_tokens = got.agg(F.sum("mixed_tokens").alias("_all"))
+        drawn_short = (F.coalesce("least_copies", F.col("max_repeats")) == F.col("max_repeats")) & (F.coalesce("mixed_tokens", F.lit(0)) * 1000 < F.col("weight_permille") * F.col("total_tokens"))
         return (
             self.plan.drop("steps")
             .join(F.broadcast(got), "source", "left")
             .join(F.broadcast(all_tokens))
             .select(
-                "source", "weight_permille", "max_repeats", "source_tokens", "target_tokens", "mean_repeats", "short",
+                "source", "weight_permille", "max_repeats", "source_tokens", "target_tokens", "mean_repeats", F.coalesce(drawn_short, F.lit(False)).alias("short"),
                 F.coalesce("mixed_tokens", F.lit(0)).alias("mixed_tokens"), F.coalesce("most_copies", F.lit(0)).alias("most_copies"),
                 F.coalesce(F.try_divide(F.col("mixed_tokens") * 1000.0, F.col("_all")), F.lit(0.0)).alias("reached_permille"),
             )
         )
 
     def shortfalls(self) -> DataFrame:
-        return self.plan.where("short").select("source")
+        """The sources that fall short in the mixture drawn."""
+        return self.report().where("short").select("source")

@@ -24,14 +24,16 @@ SAMPLE, PARTS, FEATURES, WIDTH, ROUNDS = 24_000, 8, 1 << 16, 16, 10
 PART_ROWS = 3000
 #: Step, documents of a mini-batch, share of features left out of each pass, every how many-th labelled document is held out to choose the threshold.
 RATE, BATCH, DROP, HELD_OUT = 1.0, 16, 0.5, 8
+#: The subject areas are outputs of one model; more of them are an error.
+MAX_SUBJECTS = 10_000
 THRESHOLDS = (0.03, 0.04, 0.05, 0.06, 0.08, 0.1, 0.12, 0.15, 0.2, 0.25, 0.3, 0.35, 0.4, 0.5)
 
-_WORD = re.compile(r"[a-z]+(?:[-'][a-z]+)*")
+_WORD = re.compile(r"[^\W\d_一-龥]+(?:[-'][^\W\d_一-龥]+)*")
 _RUN = re.compile("[一-龥]+")
 
 
 def features(text: str) -> np.ndarray:
-    """Hashes of the runs of 2 and 3 Han characters, of Latin words and word pairs, and of the words' runs of 5 letters. Without any: empty."""
+    """Hashes of the runs of 2 and 3 Han characters, of words of other scripts and word pairs, and of the words' runs of 5 letters. Without any: empty."""
     found = []
     han = "\0".join(_RUN.findall(text))
     if han:
@@ -138,7 +140,9 @@ class SubjectClassifier:
 
     def __init__(self, documents: DataFrame, labels: DataFrame, areas: DataFrame, rounds: int = ROUNDS):
         spark = documents.sparkSession
-        self.subjects = sorted(r[0] for r in areas.select("subject_id").where("subject_id is not null").distinct().limit(10_000).collect())
+        self.subjects = sorted(r[0] for r in areas.select("subject_id").where("subject_id is not null").distinct().limit(MAX_SUBJECTS + 1).collect())
+        if len(self.subjects) > MAX_SUBJECTS:
+            raise ValueError(f"more than {MAX_SUBJECTS} subject areas")
         index = {s: k for k, s in enumerate(self.subjects)}
         known = labels.where("doc_id is not null").groupBy("doc_id").agg(F.collect_set("subject_id").alias("wanted"))
         chosen = known.orderBy(F.xxhash64(F.lit(11), "doc_id"), "doc_id").limit(SAMPLE)  # the bounded sample

@@ -160,3 +160,8 @@ def test_without_labels_nothing_is_assigned(spark):
     none = spark.createDataFrame([], "doc_id bigint, subject_id int")
     areas = spark.createDataFrame([(1,)], "subject_id int")
     assert SubjectClassifier(df, none, areas).assign(df).count() == 0
+
+
+def test_features_of_every_script():
+    for t in ("луна обращается вокруг земли", "달은 지구 둘레를 돈다", "つきはちきゅうをまわる", "الأرض تدور حول الشمس"):
+        assert len(features(t)) >= 3

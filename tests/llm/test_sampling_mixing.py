@@ -87,3 +87,13 @@ def test_tokens_of_odd_texts(spark):
 def test_steps_reach_means_of_any_size(mean, cap):
     steps = poisson_steps(mean, cap)
     assert sum(1 - s for s in steps) == pytest.approx(mean, rel=1e-6)
+
+
+def test_long_texts_have_the_tokens_of_the_whole():
+    from loomdial.llm.mixing import PIECE, TOKENIZER, _encoding, pieces
+
+    encode = _encoding(TOKENIZER).encode_ordinary
+    base = "月亮绕着地球转，The moon's orbit takes 27.3 days...  为什么？don't guess!\n\n先想一想 "
+    for t in (base * 9000, base[7:] + "甲乙丙丁" * 20000 + base * 5000, "", "短"):
+        assert "".join(pieces(t)) == t and sum(len(encode(x)) for x in pieces(t)) == len(encode(t))
+        assert len(t) < 2 * PIECE or len(list(pieces(t))) > 1
