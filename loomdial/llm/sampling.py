@@ -3,15 +3,18 @@
 Every row has a hash priority; the reservoir of a category is its rows of lowest priority. One aggregation keeps the
 reservoirs as histograms of priorities (mergeable by addition, BUCKETS counters a category whatever its size), so the
 same pass gives the final counts and the cut-off that trims each reservoir to its quota. Rows below the cut-off bucket are
-taken as they stream by; only rows of the one cut-off bucket (1 in BUCKETS of a category) are ranked.
+taken as they stream by; the one cut-off bucket is divided once more, and only rows of the last one are ranked.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomdial.functions.text import BLANK, HAN, half_width, id_key, simplified
+from loomdial.session import cut
 
 BUCKETS_LOG2 = 12
 #: Targets are broadcast up to this many rows, else joined by shuffle.
@@ -65,7 +68,8 @@ class TargetSample:
         self.members = (
             keyed.select("_id", "_priority", F.shiftright("_priority", 63 - BUCKETS_LOG2).alias("_bucket"), F.explode(key).alias("_key")).join(_small(entries), "_key").drop("_key")
         )
-        histogram = self.members.groupBy("target_id", "_bucket").agg(F.count("*").alias("n"))
+        # the one pass over the rows: reservoirs of all partitions merged, at most 2 ** BUCKETS_LOG2 counters a target
+        histogram = cut(self.members.groupBy("target_id", "_bucket").agg(F.count("*").alias("n")))
         self.reservoirs = histogram.where("target_id is not null")
         counts = histogram.groupBy("target_id").agg(F.sum("n").alias("available"))
         total = counts.where("target_id is null").select(F.col("available").alias("_total")).agg(F.coalesce(F.max("_total"), F.lit(0)).alias("_total"))
@@ -91,21 +95,32 @@ class TargetSample:
     def shortfalls(self) -> DataFrame:
         return self.plan.where("short")
 
-    def sample(self) -> DataFrame:
-        """target_set, target_id and the id of every sampled row."""
+    @staticmethod
+    def _edge(histogram: DataFrame, wanted: DataFrame) -> DataFrame:
+        """Of each target the bucket in which the trim falls (_last) and how many of its rows are taken (_rest); wanted has target_id, target_set, _want."""
         upto = Window.partitionBy("target_id").orderBy("_bucket")
-        cut = (
-            self.reservoirs.withColumn("_upto", F.sum("n").over(upto))
-            .join(_small(self.plan.select("target_id", "target_set", "taken")), "target_id")
-            .where("_upto - n < taken")
-            .groupBy("target_id", "target_set")
-            .agg(F.max("_bucket").alias("_last"), F.max_by(F.col("taken") - (F.col("_upto") - F.col("n")), "_bucket").alias("_rest"))
-        )
-        placed = self.members.where("target_id is not null").join(_small(cut), "target_id").where("_bucket <= _last")
-        below = placed.where("_bucket < _last")
+        reached = histogram.withColumn("_upto", F.sum("n").over(upto)).join(wanted, "target_id").where("_upto - n < _want")
+        return reached.groupBy("target_id", "target_set").agg(F.max("_bucket").alias("_last"), F.max_by(F.col("_want") - (F.col("_upto") - F.col("n")), "_bucket").alias("_rest"))
+
+    def sample(self) -> DataFrame:
+        """target_set, target_id and the id of every sampled row.
+
+        The bucket at the trim is divided by the next BUCKETS_LOG2 bits of the priority in the same way, so that a task ranks one in 2 ** 24 rows of a category only.
+        """
+        placed, taken = self.members.where("target_id is not null").drop("_bucket"), []
+        wanted, histogram = self.plan.select("target_id", "target_set", F.col("taken").alias("_want")), self.reservoirs
+        for level in (1, 2):
+            bucket = F.shiftright("_priority", 63 - level * BUCKETS_LOG2)
+            if level > 1:
+                placed = placed.select("target_id", "_id", "_priority")
+                histogram = placed.groupBy("target_id", bucket.alias("_bucket")).agg(F.count("*").alias("n"))
+            edge = cut(self._edge(histogram, wanted))  # a row a target
+            met = placed.withColumn("_bucket", bucket).join(_small(edge), "target_id").where("_bucket <= _last")
+            taken.append(met.where("_bucket < _last").select("target_set", "target_id", "_id"))
+            placed, wanted = met.where("_bucket = _last"), edge.select("target_id", "target_set", F.col("_rest").alias("_want"))
         rank = F.row_number().over(Window.partitionBy("target_id").orderBy("_priority", "_id"))
-        edge = placed.where("_bucket = _last").withColumn("_rank", rank).where("_rank <= _rest").drop("_rank")
-        return below.unionByName(edge).select("target_set", "target_id", F.col("_id").alias(self.id_col))
+        taken.append(placed.withColumn("_rank", rank).where("_rank <= _rest").select("target_set", "target_id", "_id"))
+        return reduce(DataFrame.unionByName, taken).withColumnRenamed("_id", self.id_col)
 
 
 def session_sample(sessions: DataFrame, targets: DataFrame) -> TargetSample:
