@@ -35,9 +35,11 @@ def viewpoint(messages: Column, speaker: str) -> Column:
 
 
 def last_rounds(messages: Column, n: int = 10) -> Column:
-    """System message(s) and the last n others."""
+    """System message(s) and the last n rounds, each a user message with what follows it; all others where there are no more than n rounds."""
     others = drop_system(messages)
-    return F.concat(F.filter(messages, lambda m: m["role"] == "system"), F.slice(others, F.greatest(F.lit(1), F.size(others) - n + 1), F.lit(n)))
+    users = F.array_compact(F.transform(others, lambda m, i: F.when(m["role"] == "user", i + 1)))
+    begin = F.coalesce(F.try_element_at(users, F.lit(-n)), F.lit(1)) if n > 0 else F.size(others) + 1
+    return F.concat(F.filter(messages, lambda m: m["role"] == "system"), F.slice(others, begin, F.size(others)))
 
 
 def next_role(messages: Column) -> Column:

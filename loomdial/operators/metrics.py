@@ -178,10 +178,15 @@ def turn_scores_e(sessions: DataFrame, keep: list[str]) -> DataFrame:
 
     The match is a lookup in the session's own annotations (the last one of a text wins), so nothing is joined across sessions.
     """
-    keyed = F.filter(F.transform("annotations", lambda x: F.struct(utterance_key(x["utterance"]).alias("k"), x.alias("a"))), lambda x: x["k"] != "")
-    df = sessions.where(F.size("annotations") > 0).withColumn("_keyed", keyed)
-    found = lambda t: F.try_element_at(F.filter("_keyed", lambda x: x["k"] == utterance_key(t["content"])), F.lit(-1))["a"]
-    df = df.select(*keep, F.posexplode(F.transform("dialogue", lambda t: F.struct(t["role"].alias("role"), F.when(is_teacher(t["role"]), found(t)).alias("a")))).alias("turn_no", "x"))
+    df = sessions.where(F.size("annotations") > 0).select(
+        *keep,
+        F.reverse("annotations").alias("_last_first"),
+        F.reverse(F.transform("annotations", lambda x: utterance_key(x["utterance"]))).alias("_keys"),
+        # the key of a turn is taken once, before it is looked up
+        F.transform("dialogue", lambda t: F.when(is_teacher(t["role"]), F.nullif(utterance_key(t["content"]), F.lit("")))).alias("_turns"),
+    )
+    found = lambda k: F.struct(F.get("_last_first", F.array_position("_keys", k).cast("int") - 1).alias("a"))
+    df = df.select(*keep, F.posexplode(F.transform("_turns", found)).alias("turn_no", "x"))
     a = F.col("x.a")
     classes = F.size(canonical_strategies(a["teaching_strategy"]))
     intents = _distinct_size(F.transform(comma_items(a["teacher_intent"]), canonical_intent))

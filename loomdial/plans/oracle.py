@@ -188,7 +188,7 @@ SELECT s.session_no, coalesce(prompt, topic_text, '') AS prompt, coalesce(comple
 """,
     "conv_id_hash": f"WITH {S} SELECT session_no, {CONV} AS conv_id FROM s",
     "grouped_responses": f"WITH {F} SELECT conv_id, turn_id, count(*) AS n, md5(string_agg(coalesce(completion, ''), '|' ORDER BY row_no)) AS digest FROM f GROUP BY 1, 2",
-    "context_window": f"WITH {F}, x AS (SELECT row_no, list_filter(prompt, lambda q: q.role = 'system') AS a, list_filter(prompt, lambda q: q.role <> 'system') AS b FROM f), y AS (SELECT row_no, list_concat(a, b[greatest(1, len(b) - 3):]) AS m FROM x) SELECT row_no, len(m) AS messages, {DIGEST('m')} AS digest FROM y",
+    "context_window": f"WITH {F}, x AS (SELECT row_no, list_filter(prompt, lambda q: q.role = 'system') AS a, list_filter(prompt, lambda q: q.role <> 'system') AS b FROM f), u AS (SELECT *, list_filter(range(1, len(b) + 1), lambda i: b[i].role = 'user') AS p FROM x), y AS (SELECT row_no, list_concat(a, b[(CASE WHEN len(p) >= 4 THEN p[len(p) - 3] ELSE 1 END):]) AS m FROM u) SELECT row_no, len(m) AS messages, {DIGEST('m')} AS digest FROM y",
     "viewpoint_messages": f"WITH {F}, x AS (SELECT row_no, prompt, list_transform(list_filter(prompt, lambda q: coalesce({strip('q.content')} <> '', false)), lambda q: struct_pack(role := CASE WHEN q.role = 'user' THEN 'assistant' ELSE 'user' END, content := q.content)) AS m FROM f) SELECT row_no, {DIGEST('m')} AS digest, CASE WHEN prompt[-1].role = 'user' THEN 'assistant' ELSE 'user' END AS next_role FROM x",
     "persona_inject": f"WITH {F}, x AS (SELECT row_no, list_concat([struct_pack(role := 'system', content := ['gentle', 'strict', 'curious'][(row_no % 3)::INT + 1])], list_filter(prompt, lambda q: q.role <> 'system')) AS m FROM f) SELECT row_no, {DIGEST('m')} AS digest FROM x",
     "pair_windows": f"WITH {T} SELECT session_no, (turn_no // 2)::INT AS pair_no, sum(length(coalesce(content, ''))) AS characters FROM t GROUP BY 1, 2 HAVING count(*) = 2",
