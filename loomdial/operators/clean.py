@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomdial.functions.canon import is_student, is_teacher, py_strip
+from loomdial.operators.merge import dense_index
 from loomdial.operators.metrics import session_metrics_a
 from loomdial.session import cut
 
@@ -95,36 +96,48 @@ def drop_counts(reasons: DataFrame) -> DataFrame:
     return reasons.groupBy("reason").agg(F.count("*").alias("n"))
 
 
+#: Bins of a score histogram, whatever the range of the score.
+BINS = 4096
+
+
 def top_share(df: DataFrame, score: str, order: str, share: float = 0.35, floor: int = 100) -> DataFrame:
-    """The best max(int(n * share), min(n, floor)) rows; ties by order.
+    """The best max(int(n * share), min(n, floor)) rows; ties by order, null scores last.
 
-    The k-th best row is found from a histogram of scores first, so that only rows near the cut are ranked together.
+    The bin of the k-th best row is found from a histogram of scores first. The rows of that bin, most of all where scores are tied,
+    get a dense index over range partitions of score and order, so no task ranks them all.
     """
-    n = F.count("*").alias("_n")
-    binned = df.withColumn("_bin", F.floor(F.coalesce(F.col(score), F.lit(-1e9)) * 4096))
-    per = binned.groupBy("_bin").agg(n)
-    total = F.sum("_n").over(Window.partitionBy())
-    keep = F.greatest(F.floor(total * F.lit(share)), F.least(total, F.lit(floor)))
-    cut = per.select("_bin", "_n", keep.alias("_keep"), F.sum("_n").over(Window.orderBy(F.desc("_bin"))).alias("_upto")).where("_upto - _n < _keep")
-    marked = binned.join(F.broadcast(cut), "_bin")
-    sure = marked.where("_upto <= _keep")
-    w = Window.partitionBy("_bin").orderBy(F.col(score).desc_nulls_last(), order)
-    edge = marked.where("_upto > _keep").withColumn("_r", F.row_number().over(w)).where("_r <= _keep - (_upto - _n)").drop("_r")
-    return sure.unionByName(edge).drop("_bin", "_n", "_keep", "_upto")
+    low, high = df.agg(F.min(score), F.max(score)).first()
+    width = (high - low) / (BINS - 1) if high is not None and high > low else 1.0
+    bin_ = F.when(F.col(score).isNull(), -1).otherwise(F.least(F.lit(BINS - 1), F.floor((F.col(score) - F.lit(low)) / F.lit(width))))
+    binned = df.withColumn("_bin", bin_.cast("int"))
+    per = {r["_bin"]: r["n"] for r in binned.groupBy("_bin").agg(F.count("*").alias("n")).collect()}  # BINS + 1 rows at most
+    n = sum(per.values())
+    keep, upto, edge = max(int(n * share), min(n, floor)), 0, None
+    for b in sorted(per, reverse=True):
+        if upto + per[b] > keep:
+            edge = b
+            break
+        upto += per[b]
+    if edge is None:
+        return df
+    sure, tied = binned.where(F.col("_bin") > edge), binned.where(F.col("_bin") == edge).withColumn("_down", F.coalesce(-F.col(score), F.lit(0.0)))
+    return sure.drop("_bin").unionByName(dense_index(tied, ["_down", order], "_ix").where(F.col("_ix") < keep - upto).drop("_bin", "_down", "_ix"))
 
 
 def balanced_top(df: DataFrame, group: str, score: str, order: str, target: int) -> DataFrame:
     """target rows, spread over the groups, best first: an even quota (one more for the first groups by name), or the best groups with one each
     where there are fewer places than groups; free places go to the best of the rest."""
     within = Window.partitionBy(group).orderBy(F.col(score).desc_nulls_last(), order)
-    groups = df.groupBy(group).agg(F.max(score).alias("_best"))
-    sizes = groups.agg(F.count("*").alias("_k"))
-    by_name, by_best = Window.orderBy(group), Window.orderBy(F.desc("_best"), group)
-    ranked = groups.withColumns({"_ix": F.row_number().over(by_name) - 1, "_bx": F.row_number().over(by_best)}).join(F.broadcast(sizes))  # one row per group
-    quota = F.when(F.lit(target) >= F.col("_k"), F.floor(F.lit(target) / F.col("_k")) + F.when(F.col("_ix") < F.lit(target) % F.col("_k"), 1).otherwise(0)).otherwise(F.when(F.col("_bx") <= target, 1).otherwise(0))
+    groups = cut(df.groupBy(group).agg(F.max(score).alias("_best")))
+    k = groups.count()
+    if target >= k:  # no more groups than places: target rows at most are numbered
+        first = F.row_number().over(Window.orderBy(group)) <= F.lit(target % k if k else 0)
+        quotas = groups.select(group, (F.lit(target // k if k else 0) + first.cast("int")).alias("_quota"))
+    else:  # the best groups, found by a distributed top-k
+        quotas = groups.orderBy(F.desc_nulls_last("_best"), group).limit(target).select(group, F.lit(1).alias("_quota"))
     # quota and fill take at most 2 * target rows of a group: this literal limit is applied in every partition before the exchange, so a hot group stays small
     best = df.withColumn("_r", F.row_number().over(within)).where(F.col("_r") <= 2 * int(target))
-    placed = best.join(ranked.select(group, quota.alias("_quota")), group)
+    placed = best.join(quotas.withColumnRenamed(group, "_g"), F.col(group).eqNullSafe(F.col("_g")), "left").withColumn("_quota", F.coalesce("_quota", F.lit(0))).drop("_g")
     chosen = placed.where("_r <= _quota")
     rest = placed.where(f"_r > _quota and _r <= _quota + {int(target)}")
     missing = chosen.agg((F.lit(target) - F.count("*")).alias("_missing"))

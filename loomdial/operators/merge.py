@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from loomdial.functions.canon import is_ablation, model_name, parse_request_id, percent, py_strip
 from loomdial.session import cut
@@ -108,21 +113,43 @@ def keyword_search(df: DataFrame, columns: list[str], word: str) -> DataFrame:
 
 
 def request_parts(requests: DataFrame, group: str, order: str, size: str, limit: int) -> DataFrame:
-    """Add part: requests in order fill parts of up to limit bytes; one larger than that has a part of its own.
+    """group, order, size and part: requests in order fill parts of up to limit bytes; one larger than that has a part of its own.
 
-    The running total starts again at each part, so it is a fold over a group's requests; groups (files) run in parallel and the fold carries only numbers.
+    The running total starts again at each part, so a group (file) is read in order by one task, groups in parallel. Rows stream past in
+    sorted partitions; only numbers are carried from batch to batch, and a part is found by one binary search. A null size counts as 0.
     """
-    rows = requests.groupBy(group).agg(F.sort_array(F.collect_list(F.struct(order, size))).alias("_r"))
-    start = F.struct(F.lit(0).cast("bigint").alias("used"), F.lit(0).alias("part"), F.array().cast("array<int>").alias("parts"))
-
-    def step(a, x):
-        full = (a["used"] > 0) & (a["used"] + x[size] > limit)
-        part = a["part"] + F.when(full, 1).otherwise(0)
-        used = F.when(full, F.lit(0).cast("bigint")).otherwise(a["used"]) + x[size]
-        return F.struct(used.cast("bigint").alias("used"), part.alias("part"), F.array_append(a["parts"], part).alias("parts"))
-
-    folded = rows.withColumn("_p", F.aggregate("_r", start, step)["parts"])
-    return folded.select(group, F.explode(F.arrays_zip("_r", "_p")).alias("x")).select(group, f"x._r.{order}", f"x._r.{size}", F.col("x._p").alias("part"))
+    rows = requests.select(group, order, size)
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, used, part = None, 0, 0
+        for batch in batches:
+            if not len(batch):
+                continue
+            codes = pd.factorize(batch[group], use_na_sentinel=False)[0]
+            sizes = batch[size].fillna(0).to_numpy(dtype=np.int64)
+            begins = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
+            parts = np.zeros(len(batch), dtype=np.int32)
+            for at, end in zip(begins, [*begins[1:], len(batch)]):
+                name = batch[group].iat[at]
+                name = (True, None) if pd.isna(name) else (False, name)
+                if name != last:
+                    last, used, part = name, 0, 0
+                total = np.concatenate([[0], np.cumsum(sizes[at:end])])
+                k, n = 0, end - at
+                while k < n:
+                    fits = int(np.searchsorted(total, total[k] + limit - used, "right")) - 1
+                    if fits <= k:
+                        if used > 0:
+                            part, used = part + 1, 0
+                            continue
+                        fits = k + 1
+                    parts[at + k : at + fits] = part
+                    used += int(total[fits] - total[k])
+                    k = fits
+            yield batch.assign(part=parts)
+
+    fields = [rows.schema[c] for c in (group, order, size)]
+    return rows.repartition(group).sortWithinPartitions(group, order).mapInPandas(scan, StructType([*fields, StructField("part", IntegerType())]))
 
 
 def shard(index: Column, n: Column, shards: int) -> Column:

@@ -241,3 +241,20 @@ SELECT n.session_no, ix AS turn_id, {DIGEST('prompt')} AS digest, md5(n.content)
     "row_titles": f"WITH {T}, u AS (SELECT session_no, coalesce(arg_min(content, turn_no) FILTER (WHERE lower(role) IN {STUDENT} AND content IS NOT NULL), arg_min(content, turn_no), '') AS x FROM t GROUP BY 1) SELECT session_no, CASE WHEN length(x) > 20 THEN left(x, 20) || '…' ELSE x END AS title FROM u",
     "latest_delivery": "SELECT topic_id, arg_max(session_no, ingested_at) AS session_no FROM sessions WHERE topic_id IS NOT NULL GROUP BY 1",
 }
+
+ORACLE["request_parts"] = """
+WITH RECURSIVE r AS (SELECT coalesce(source, 'none') AS source, doc_id, strlen(coalesce(text, '')) AS bytes, row_number() OVER (PARTITION BY coalesce(source, 'none') ORDER BY doc_id) AS rn FROM documents),
+w AS (SELECT source, rn, bytes AS used, 0 AS part FROM r WHERE rn = 1
+  UNION ALL SELECT r.source, r.rn, CASE WHEN used > 0 AND used + bytes > 30000 THEN bytes ELSE used + bytes END, part + CASE WHEN used > 0 AND used + bytes > 30000 THEN 1 ELSE 0 END
+  FROM w JOIN r ON r.source = w.source AND r.rn = w.rn + 1)
+SELECT r.source, doc_id, bytes, part FROM r JOIN w USING (source, rn)"""
+# the 31-polynomial over UTF-16 units, 32 bits with sign, its absolute value in base 36; topics hold characters of the basic plane only
+ORACLE["rolling_hashes"] = """
+WITH RECURSIVE h AS (SELECT topic_id, list_reduce(list_prepend(0::BIGINT, list_transform(string_split(topic, ''), lambda c: unicode(c)::BIGINT)), lambda a, c: (a * 31 + c) % 4294967296) AS u FROM topics),
+s AS (SELECT topic_id, abs(CASE WHEN u >= 2147483648 THEN u - 4294967296 ELSE u END) AS v FROM h),
+b AS (SELECT topic_id, v // 36 AS v, substr('0123456789abcdefghijklmnopqrstuvwxyz', (v % 36 + 1)::INT, 1) AS hash FROM s
+  UNION ALL SELECT topic_id, v // 36, substr('0123456789abcdefghijklmnopqrstuvwxyz', (v % 36 + 1)::INT, 1) || hash FROM b WHERE v > 0)
+SELECT topic_id, hash FROM b WHERE v = 0"""
+ORACLE["metric_variant_gap"] = f"""
+WITH x AS (SELECT session_no, total_score AS a FROM ({ORACLE['session_metrics_a']})), y AS (SELECT session_no, total_score AS b FROM ({ORACLE['session_metrics_b']})), z AS (SELECT session_no, total_score AS c FROM ({ORACLE['session_metrics_c']}))
+SELECT count(*) AS n, round(avg(a), 5) AS mean_a, round(avg(b), 5) AS mean_b, round(avg(c), 5) AS mean_c, round(avg(abs(b - c)), 5) AS gap_b_c FROM x JOIN y USING (session_no) JOIN z USING (session_no)"""
