@@ -3,13 +3,14 @@
 A trie holds every name of every entry (labels and aliases). A Levenshtein automaton, the row of edit distances
 (adjacent transpositions count one) carried down the trie, returns all entries within a length-dependent distance;
 subtrees whose best possible distance exceeds the limit are never entered. The search runs in Arrow batches on
-the rows to be mapped, each distinct value of a batch once, so there is no exchange and no join.
+the rows to be mapped, each distinct value of a task once, so there is no exchange and no join.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
@@ -132,9 +133,11 @@ def map_to_entries(df: DataFrame, vocabulary: DataFrame, field: str, value: str)
         tries = {f: Trie(e) for f, e in by_field.items()}
 
         @F.pandas_udf("distance int, entry int, tie boolean")
-        def search(f: pd.Series, v: pd.Series) -> pd.DataFrame:
+        def search(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+            # each distinct value of a task is searched once
             cached = lru_cache(100_000)(lambda a, b: (99, 0, False) if a is None or b is None else lookup(tries, a, b))
-            return pd.DataFrame([cached(a, b) for a, b in zip(f, v)], columns=["distance", "entry", "tie"])
+            for f, v in batches:
+                yield pd.DataFrame([cached(a, b) for a, b in zip(f, v)], columns=["distance", "entry", "tie"])
 
         out = out.withColumn(f"_block{b}", search(F.col(field), F.col(value)))
         parts.append(F.col(f"_block{b}"))

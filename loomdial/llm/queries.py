@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loomdial.functions.text import SIMPLIFIED, TRADITIONAL
 from loomdial.llm.canonical import canonical_values, unmatched_values
 from loomdial.llm.defects import answer_defects
 from loomdial.llm.leaks import clean_documents, leaks
 from loomdial.llm.mixing import Mixture
 from loomdial.llm.neardup import similar_sessions
-from loomdial.llm.sampling import UNKNOWN, session_sample
+from loomdial.llm.sampling import session_sample
 from loomdial.llm.splits import linked_topics, split_records
 from loomdial.llm.subjects import SubjectClassifier, composition
 from loomdial.session import read
@@ -113,6 +112,10 @@ QUERIES = {k: v for k, v in list(globals().items()) if k[0] == "p" and k[1].isdi
 
 # --- SQL of the queries that SQL can express, for DuckDB
 
+# Fixed values, written out here so that the SQL does not depend on the operators.
+UNKNOWN = ("未知", "未记录", "不详", "无", "暂无", "未填", "未定", "unknown", "na", "none", "null")
+TRADITIONAL = "優識學習導問設語層點類憶應創價評誤錯檢測總結發遷勵開觀動時長師題說課講讀寫話對錯達難階無複饋確認記錄進論證據斷聯繫統義現實驗標準過這個們來為與後裡還會嗎讓從將當經變關係圖書館體號計備務啟維"
+SIMPLIFIED = "优识学习导问设语层点类忆应创价评误错检测总结发迁励开观动时长师题说课讲读写话对错达难阶无复馈确认记录进论证据断联系统义现实验标准过这个们来为与后里还会吗让从将当经变关系图书馆体号计备务启维"
 _WIDE = "".join(chr(c) for c in range(0xFF01, 0xFF5F)) + "　"
 _NARROW = ("".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)) + " ").replace("'", "''")
 
@@ -155,3 +158,19 @@ SELECT session_a, session_b FROM b JOIN n na ON na.session_no = session_a JOIN n
 WITH d AS (SELECT source, sum(length(text)) AS t FROM documents WHERE source IN (SELECT source FROM mix_targets) GROUP BY 1)
 SELECT m.source FROM mix_targets m LEFT JOIN d USING (source) WHERE coalesce(d.t, 0) * max_repeats * 1000 < weight_permille * (SELECT sum(t) FROM d)""",
 }
+ORACLE["p1_report"] = (
+    ORACLE["p1_found"].split("SELECT target_id FROM t WHERE")[0].replace("SELECT target_id, target_permille,", "SELECT target_id, target_set, target_permille,")
+    + """, p AS (SELECT target_id, target_set, target_permille, min_rows, (SELECT floor(count(*) / 5)::BIGINT FROM s) AS sample_size,
+  (SELECT count(*) FROM s WHERE (ny OR s.ty = t.ty) AND (ns OR s.sc = t.sc) AND (nt OR s.tp = t.tp)) AS available FROM t),
+n AS (SELECT *, greatest(min_rows, ceil(target_permille * sample_size / 1000.0))::BIGINT AS needed FROM p)
+SELECT *, least(needed, available) AS taken, available < needed AS short, round(least(needed, available) * 1000.0 / sum(least(needed, available)) OVER (PARTITION BY target_set), 3) AS reached_permille FROM n"""
+)
+ORACLE["p5_groups"] = f"""
+WITH RECURSIVE pr AS ({ORACLE['p5_found']}),
+c AS (SELECT session_no, min(session_no) OVER (PARTITION BY x) AS representative FROM
+  (SELECT session_no, regexp_replace(lower(array_to_string(list_transform(dialogue, lambda q: coalesce(q.content, '')), '')), '[^一-龥a-z0-9]', '', 'g') AS x FROM {_ONCE.format('sessions', 'session_no')}) WHERE length(x) >= 5),
+l AS (SELECT DISTINCT a.representative AS x, b.representative AS y FROM pr JOIN c a ON a.session_no = session_a JOIN c b ON b.session_no = session_b),
+e AS (SELECT x, y FROM l UNION SELECT y, x FROM l),
+r(x, y) AS (SELECT x, y FROM e UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x),
+g AS (SELECT x, min(y) AS y FROM r GROUP BY 1)
+SELECT session_no, representative, coalesce(least(g.y, representative), representative) AS "group" FROM c LEFT JOIN g ON g.x = representative"""
