@@ -96,7 +96,7 @@ class PackedFieldRules:
     """
 
     min_score: float = 0.5
-    min_support: float = 2
+    min_support: float = 1
     prior: float = 5
     candidates: dict[str, str] = field(default_factory=lambda: dict(CANDIDATES))
 
